@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, url_filter
+from . import chat_format, langid, mixing, simhash, url_filter
 
 #: The explicit rules of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -23,6 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc_fold(folds: int):
+    """crc32(doc_id as text) mod folds; a row without an id is in fold 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(0))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang").where(crc_fold(3) != 1))
+    rows = docs.select("doc_id", (crc_fold(3) == 1).alias("held_out"), "text")
+    return langid.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules are mined from ``labels`` whose id is a page's id: a toxic label marks a bad page."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("toxic") == 1).alias("bad"))
@@ -47,6 +64,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op2_simhash": op2_simhash,
         "op3_url_filter": op3_url_filter,
         "op5_chat_format": op5_chat_format,
         "op7_mixing": op7_mixing,
