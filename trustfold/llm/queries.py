@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, langid, mixing, simhash, url_filter
+from . import chat_format, embed_dedup, langid, mixing, simhash, url_filter
 
 #: The explicit rules of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -62,6 +62,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), 0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": op3_url_filter,
         "op5_chat_format": op5_chat_format,
         "op7_mixing": op7_mixing,
+        "op8_embedding_dedup": op8_embedding_dedup,
     }
 
 
