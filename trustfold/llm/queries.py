@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embed_dedup, langid, mixing, simhash, url_filter
+from . import chat_format, embed_dedup, hpylm, langid, mixing, simhash, url_filter
 
 #: The explicit rules of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -66,6 +66,11 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), 0.98)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_fold(5) == 1).alias("held_out"))
+    return hpylm.score(docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -74,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_format": op5_chat_format,
         "op7_mixing": op7_mixing,
         "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_lm_scoring": op9_lm_scoring,
     }
 
 
