@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embed_dedup, hpylm, langid, mixing, simhash, url_filter
+from . import chat_format, decontaminate, embed_dedup, hpylm, langid, mixing, simhash, url_filter
 
 #: The explicit rules of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -55,6 +55,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.chat_windows(rows.unionByName(extra)))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, item) with the item in the document within a tenth of its length in edits."""
+    return decontaminate.best_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mixing.mix(docs).select(
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_url_filter": op3_url_filter,
         "op5_chat_format": op5_chat_format,
+        "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_lm_scoring": op9_lm_scoring,
