@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embed_dedup, hpylm, langid, mixing, simhash, url_filter
+from . import chat_format, decontaminate, embed_dedup, hpylm, langid, line_dedup, mixing, simhash, url_filter
 
 #: The explicit rules of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -46,6 +46,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines without those that repeat an earlier line within two edits."""
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -81,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_simhash": op2_simhash,
         "op3_url_filter": op3_url_filter,
+        "op4_line_dedup": op4_line_dedup,
         "op5_chat_format": op5_chat_format,
         "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,
