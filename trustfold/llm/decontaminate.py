@@ -3,7 +3,7 @@
 Items and texts are lower-cased and their runs of white space become one blank. An item of m characters
 may occur in a text with up to k = floor(rate * m) edits. It is cut into k + 1 pieces, one of which any such
 occurrence holds unchanged: an Aho-Corasick automaton finds all pieces in a text, hits on neighbouring
-diagonals share a window, and Myers' bit-parallel distance decides, for many windows at once.
+diagonals share a window, windows that lack too many of the item's letter triples for its budget are passed over, and Myers' bit-parallel distance decides, for many windows at once.
 
 Items reach the executors in blocks of bounded size, one pass over the texts a block, however large the
 benchmark is. Texts are read whole.
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 #: Characters of items in a block.
 BLOCK_CHARS = 4_000_000
 _WINDOWS = 8192
+_TRIPLES = 4096
 
 
 def normal(text: str | None) -> str:
@@ -41,6 +42,12 @@ def pieces(length: int, budget: int) -> list[tuple[int, int]]:
     return list(zip(cut, cut[1:]))
 
 
+def _triples(code: np.ndarray) -> np.ndarray:
+    """Hashed numbers of all runs of three letters."""
+    code = code.astype(np.int64)
+    return (code[:-2] * 961 + code[1:-1] * 31 + code[2:]) & (_TRIPLES - 1)
+
+
 class Matcher:
     """A block of normalised items, ready for matching."""
 
@@ -65,6 +72,15 @@ class Matcher:
             code = self.number[np.frombuffer(t.encode("utf-32-le"), np.uint32)]
             np.bitwise_or.at(self.masks[i], (code, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
 
+        self.triples = [_triples(self.number[np.frombuffer(t.encode("utf-32-le"), np.uint32)]) for t in items]
+
+    def plausible(self, item: int, triples: np.ndarray) -> bool:
+        """An edit breaks three of an item's letter triples at most; the others must be in the window."""
+        here = np.zeros(_TRIPLES, bool)
+        here[triples] = True
+        own = self.triples[item]
+        return len(own) - np.count_nonzero(here[own]) <= 3 * int(self.budget[item])
+
     def windows(self, text: str) -> list[tuple[int, int, int]]:
         """(item, from, to) of the stretches where an occurrence may lie."""
         diagonals = defaultdict(set)
@@ -120,7 +136,7 @@ class Matcher:
         found, waiting = {}, []
 
         def settle() -> None:
-            waiting.sort(key=lambda w: len(w[3]))
+            waiting.sort(key=lambda w: (self.length[w[1]] // 64, len(w[3])))
             for a in range(0, len(waiting), 1024):
                 some = waiting[a : a + 1024]
                 item = np.array([w[1] for w in some])
@@ -139,7 +155,10 @@ class Matcher:
             places = self.windows(text) if text else []
             if places:
                 code = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+                triples = _triples(code)
                 for i, a, b in places:
+                    if not self.plausible(i, triples[a : max(a, b - 2)]):
+                        continue
                     waiting.append((number, i, a, code[a:b]))
                     if len(waiting) >= _WINDOWS:
                         settle()
