@@ -185,8 +185,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> Da
 def keep_first(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
     """Rows of ``docs`` that stay when of each group only the row with the least id is kept.
 
-    Rows without an id stay. Of repeated rows of that id one stays.
+    Rows without an id stay. Of several rows of that id the one with the least text stays.
     """
-    heads = near_duplicates(docs.select("doc_id", "text"), width, radius).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    found = near_duplicates(docs.select("doc_id", "text"), width, radius).where("doc_id = component_id")
+    heads = written(found.groupBy(F.col("doc_id").alias("__head")).agg(F.count("*").alias("__n")))
+    once = docs.join(heads.where("__n = 1"), F.col("doc_id") == F.col("__head"), "left_semi")
+    again = docs.join(heads.where("__n > 1"), F.col("doc_id") == F.col("__head"), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = again.groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("__row")).select("__row.*")
+    return once.unionByName(least).unionByName(docs.where("doc_id is null"))
