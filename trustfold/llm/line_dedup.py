@@ -26,9 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_tasks, written
+from .common import input_tasks, release, written
 
 BUDGET = 2
+#: Up to so many ids of lines in pairs (16 MB) are broadcast to fetch their texts; more of them are joined by a shuffle.
+BROADCAST_LINES = 1_000_000
 MIN_CHARS = 32
 _U = np.uint64
 _R = _U(0x5851F42D4C957F2D)
@@ -293,7 +295,11 @@ def similar_lines(docs: DataFrame, budget: int = BUDGET, min_chars: int = MIN_CH
     entries = docs.select("text").mapInArrow(_entries(budget, min_chars), "key bigint, mark bigint, sketch bigint")
     dealt = entries.repartition(input_tasks(docs.sparkSession), "key").sortWithinPartitions("key")
     pairs = written(dealt.mapInArrow(_meet(budget), "a bigint, b bigint").distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
+    del entries, dealt
+    release(docs.sparkSession)  # the entries' shuffle is not needed any more
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
+    if ends.count() <= BROADCAST_LINES:
+        ends = F.broadcast(ends)
     texts = docs.select("text").mapInArrow(_texts(min_chars), "line bigint, words string").join(ends, "line", "left_semi")
     texts = written(texts.groupBy("line").agg(F.max("words").alias("words")))
     asked = pairs.join(texts.select(F.col("line").alias("a"), F.col("words").alias("left")), "a").join(texts.select(F.col("line").alias("b"), F.col("words").alias("right")), "b")
