@@ -51,9 +51,9 @@ def _lines(texts: list[str | None], min_chars: int) -> Iterator[tuple[int, int,
     """(text number, line number, normalised line) of the lines that count."""
     for n, text in enumerate(texts):
         if text:
-            for k, line in enumerate(text.split("\n")):
+            for k, line in enumerate(text.lower().split("\n")):
                 if len(line) >= min_chars:
-                    short = normal(line)
+                    short = " ".join(line.split())
                     if len(short) >= min_chars:
                         yield n, k, short
 
@@ -289,8 +289,8 @@ def _verify(budget: int):
     return of
 
 
-def similar_lines(docs: DataFrame, budget: int = BUDGET, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs(text) to pairs (a < b) of distinct lines' ids within the budget, once each."""
+def similar_lines(docs: DataFrame, first: DataFrame, budget: int = BUDGET, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs(row, text) and first(line, first.row), a row that has each line, to pairs (a < b) of distinct lines' ids within the budget, once each."""
     min_chars = max(min_chars, 2 * budget + 2)
     entries = docs.select("text").mapInArrow(_entries(budget, min_chars), "key bigint, mark bigint, sketch bigint")
     dealt = entries.repartition(input_tasks(docs.sparkSession), "key").sortWithinPartitions("key")
@@ -298,9 +298,11 @@ def similar_lines(docs: DataFrame, budget: int = BUDGET, min_chars: int = MIN_CH
     del entries, dealt
     release(docs.sparkSession)  # the entries' shuffle is not needed any more
     ends = written(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
-    if ends.count() <= BROADCAST_LINES:
+    if small := ends.count() <= BROADCAST_LINES:
         ends = F.broadcast(ends)
-    texts = docs.select("text").mapInArrow(_texts(min_chars), "line bigint, words string").join(ends, "line", "left_semi")
+    where = written(first.join(ends, "line", "left_semi").select(F.col("first.row").alias("row")).distinct())
+    holders = docs.join(F.broadcast(where) if small else where, "row", "left_semi")
+    texts = holders.select("text").mapInArrow(_texts(min_chars), "line bigint, words string").join(ends, "line", "left_semi")
     texts = written(texts.groupBy("line").agg(F.max("words").alias("words")))
     asked = pairs.join(texts.select(F.col("line").alias("a"), F.col("words").alias("left")), "a").join(texts.select(F.col("line").alias("b"), F.col("words").alias("right")), "b")
     return asked.select("a", "b", "left", "right").mapInArrow(_verify(budget), "a bigint, b bigint")
@@ -313,7 +315,7 @@ def removals(docs: DataFrame, budget: int = BUDGET, min_chars: int = MIN_CHARS)
     seen = written(docs.select("row", "doc_id", "text").mapInArrow(_occurrences(min_chars), f"row bigint, doc_id {kind}, line_no int, line bigint"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "row")
     first = written(seen.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    near = similar_lines(docs, budget, min_chars)
+    near = similar_lines(docs, first, budget, min_chars)
     where = lambda end: first.select(F.col("line").alias(end), F.col("first").alias(f"first_{end}"))
     later = near.join(where("a"), "a").join(where("b"), "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("line")).distinct()
     judged = first.join(later.withColumn("similar", F.lit(True)), "line", "left").where("n > 1 or similar").select("line", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
