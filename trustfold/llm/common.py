@@ -5,8 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,20 @@ def input_tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def text_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, slice) of a text column, each of about ``limit`` bytes at most, but one row at least.
+
+    Batches are bounded by rows, not bytes; what is made of a text is several times its size.
+    """
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + limit, side="right")))
+        yield at, column.slice(at, end - at)
+        pa.default_memory_pool().release_unused()
+        at = end
+
+
 def byte_table(lower: bool = True) -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     if lower:

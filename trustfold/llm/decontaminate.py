@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_slices
+
 #: Characters of items in a block.
 BLOCK_CHARS = 4_000_000
 _WINDOWS = 8192
@@ -176,7 +178,9 @@ def _search(block, rate: float):
         ids, items = block.value
         matcher = _matcher(items, rate)
         for batch in batches:
-            found = matcher.match(batch.column("text").to_pylist())
+            found = {}
+            for at, part in text_slices(batch.column("text")):
+                found |= {(at + n, i): v for (n, i), v in matcher.match(part.to_pylist()).items()}
             rows = pa.array([n for n, _ in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [

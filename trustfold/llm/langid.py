@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_slices
+
 BUCKET_BITS = 13
 _CHUNK = 1 << 20
 
@@ -148,10 +150,11 @@ def fit(docs: DataFrame, sample_rows: int = 2048, seed: int = 7) -> LanguageMode
 def predict_udf(model: LanguageModel):
     @F.arrow_udf("struct<lang:string,score:double>")
     def of(text: pa.Array) -> pa.Array:
-        p = model.probabilities(text.cast(pa.large_binary()).to_pylist()) if len(text) else np.zeros((0, len(model.labels)))
+        parts = [model.probabilities(t.cast(pa.large_binary()).to_pylist()) for _, t in text_slices(text)]
+        p = np.concatenate([np.zeros((0, len(model.labels))), *parts])
         best = p.argmax(axis=1)
         lang = pa.array(np.array(model.labels, object)[best], pa.string())
-        return pa.StructArray.from_arrays([lang, pa.array(p.max(axis=1) if len(p) else np.zeros(0))], names=["lang", "score"])
+        return pa.StructArray.from_arrays([lang, pa.array(p.max(axis=1, initial=0.0))], names=["lang", "score"])
 
     return of
 

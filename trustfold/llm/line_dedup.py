@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_tasks, release, written
+from .common import input_tasks, release, text_slices, written
 
 BUDGET = 2
 #: Up to so many ids of lines in pairs (16 MB) are broadcast to fetch their texts; more of them are joined by a shuffle.
@@ -61,21 +61,27 @@ def _lines(texts: list[str | None], min_chars: int) -> Iterator[tuple[int, int,
 def _occurrences(min_chars: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(n, k, line_id(t)) for n, k, t in _lines(batch.column("text").to_pylist(), min_chars)]
-            rows = pa.array([f[0] for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(rows), batch.column("doc_id").take(rows), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64())],
-                names=["row", "doc_id", "line_no", "line"],
-            )
+            for at, texts in text_slices(batch.column("text")):
+                found = [(at + n, k, line_id(t)) for n, k, t in _lines(texts.to_pylist(), min_chars)]
+                rows = pa.array([f[0] for f in found], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row").take(rows), batch.column("doc_id").take(rows), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64())],
+                    names=["row", "doc_id", "line_no", "line"],
+                )
 
     return of
 
 
+def _distinct(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[list[str]]:
+    for batch in batches:
+        for _, texts in text_slices(batch.column("text")):
+            yield list(dict.fromkeys(t for _, _, t in _lines(texts.to_pylist(), min_chars)))
+
+
 def _texts(min_chars: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            once = dict.fromkeys(t for _, _, t in _lines(batch.column("text").to_pylist(), min_chars))
-            yield pa.RecordBatch.from_arrays([pa.array([line_id(t) for t in once], pa.int64()), pa.array(list(once), pa.string())], names=["line", "words"])
+        for once in _distinct(batches, min_chars):
+            yield pa.RecordBatch.from_arrays([pa.array([line_id(t) for t in once], pa.int64()), pa.array(once, pa.string())], names=["line", "words"])
 
     return of
 
@@ -147,8 +153,7 @@ def keys(lines: list[str], budget: int, min_chars: int) -> tuple[np.ndarray, np.
 
 def _entries(budget: int, min_chars: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            once = list(dict.fromkeys(t for _, _, t in _lines(batch.column("text").to_pylist(), min_chars)))
+        for once in _distinct(batches, min_chars):
             at = 0
             while at < len(once):
                 end, size = at, 0

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_tasks, written
+from .common import input_tasks, text_slices, written
 from .components import components
 
 SEED = 42
@@ -57,7 +57,8 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 
 def _fingerprints(batch: pa.Array, width: int) -> pa.Array:
-    found = np.fromiter((fingerprint(t, width) for t in batch.cast(pa.large_binary()).to_pylist()), np.uint64, len(batch))
+    texts = (t for _, part in text_slices(batch) for t in part.cast(pa.large_binary()).to_pylist())
+    found = np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(batch))
     return pa.array(found.view(np.int64))
 
 
