@@ -11,6 +11,11 @@ METRICS = ("rmse", "mae", "rsq", "accuracy", "tss", "kappa", "sensitivity", "spe
 SMALLER_IS_BETTER = ("rmse", "mae")
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r; null without variance, where the built-in one divides by zero. Both must be null together."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def regression(actual: Column, predicted: Column) -> dict[str, Column]:
     """rsq is null where the actual values do not vary."""
     ok = actual.isNotNull() & predicted.isNotNull()

@@ -223,6 +223,6 @@ def debias(data: DataFrame, x: str, y: str, predictors: list[str], degree: int =
         full = np.append(beta, -1.0)
         total = m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
         r2 = 1 - float(full @ m @ full) / total if total > 0 else 0.0
-        told.append((p, r2, "low" if r2 < 0.1 else "moderate" if r2 < 0.4 else "high"))
+        told.append((p, float(r2), "low" if r2 < 0.1 else "moderate" if r2 < 0.4 else "high"))
         out = out.withColumn(p, F.col(p) - model.expression(beta))
     return out.drop(*basis), data.sparkSession.createDataFrame(told, "predictor string, r2 double, grade string")

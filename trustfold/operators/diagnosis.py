@@ -130,14 +130,14 @@ def intraclass(data: DataFrame, group: str, value: str) -> DataFrame:
     """One row of the one-way analysis of variance: k, n, m (mean size), msb, msw, icc_raw, icc (within 0 and 1), deff."""
     v = F.col(value).cast("double")
     clean = data.where(F.col(group).isNotNull() & v.isNotNull() & ~F.isnan(v))
-    by = clean.groupBy(group).agg(F.count("*").alias("c"), F.avg(v).alias("a"), F.var_pop(v).alias("p"))
-    tot = by.agg(F.count("*").alias("k"), F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("a")) / F.sum("c")).alias("g"), F.sum(F.col("c") * F.col("p")).alias("ssw"))
-    ssb = by.join(F.broadcast(tot.select("g"))).agg(F.sum(F.col("c") * F.pow(F.col("a") - F.col("g"), 2)).alias("ssb"))
+    by = clean.groupBy(F.col(group).alias("of_group")).agg(F.count("*").alias("c"), F.avg(v).alias("a"), F.var_pop(v).alias("p"))
+    tot = by.agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.try_divide(F.sum(F.col("c") * F.col("a")), F.sum("c")).alias("grand"), F.sum(F.col("c") * F.col("p")).alias("ssw"))
+    ssb = by.join(F.broadcast(tot.select("grand"))).agg(F.sum(F.col("c") * F.pow(F.col("a") - F.col("grand"), 2)).alias("ssb"))
     k, n = F.col("k"), F.col("n")
     return (
         tot.join(ssb)
-        .withColumns({"m": n / k, "msb": F.when(k > 1, F.col("ssb") / (k - 1)), "msw": F.when(n > k, F.col("ssw") / (n - k))})
-        .withColumn("icc_raw", (F.col("msb") - F.col("msw")) / (F.col("msb") + (F.col("m") - 1) * F.col("msw")))
+        .withColumns({"m": F.try_divide(n, k), "msb": F.when(k > 1, F.col("ssb") / (k - 1)), "msw": F.when(n > k, F.col("ssw") / (n - k))})
+        .withColumn("icc_raw", F.try_divide(F.col("msb") - F.col("msw"), F.col("msb") + (F.col("m") - 1) * F.col("msw")))
         .withColumn("icc", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("icc_raw"))))
         .withColumn("deff", 1 + (F.col("m") - 1) * F.col("icc"))
         .select("k", "n", "m", "msb", "msw", "icc_raw", "icc", "deff")

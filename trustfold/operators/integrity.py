@@ -10,8 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RISK = "type string, severity string, description string, n_affected bigint, source string"
-
+from ..functions.metrics import correlation
 
 class HardViolation(ValueError):
     """A split that must not be used."""
@@ -66,7 +65,7 @@ def correlations(data: DataFrame, target: str, features: list[str], role: str |
         x = F.col(f).cast("double")
         both = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
         a, b = F.when(both, x), F.when(both, y)
-        out += [F.when((F.stddev_samp(a) > 0) & (F.stddev_samp(b) > 0), F.corr(a, b)).alias(f"r_{f}"), F.count_if(both).alias(f"n_{f}")]
+        out += [correlation(a, b).alias(f"r_{f}"), F.count_if(both).alias(f"n_{f}")]
     stats = rows.agg(*out)
     items = ", ".join(f"'{f}', `r_{f}`, `n_{f}`" for f in features)
     return stats.selectExpr(f"stack({len(features)}, {items}) as (feature, r, n)")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.common import epoch, written
+from ..functions.metrics import correlation
 from . import integrity
 from .folds import nearest_distances
 
@@ -371,7 +372,7 @@ def audit_predictions(predictions: DataFrame, split: DataFrame, actual: str = "a
     out = []
     joined = predictions.join(split.select("row_id", "role"), "row_id", "left")
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
-    r = joined.agg(F.count("*").alias("n"), F.count_if(F.col("role") == "train").alias("train"), F.corr(a, p).alias("r"), F.max(F.abs(a - p)).alias("gap"), F.avg((F.round(a) == F.round(p)).cast("double")).alias("acc"), F.count_distinct(a).alias("values")).first()
+    r = joined.agg(F.count("*").alias("n"), F.count_if(F.col("role") == "train").alias("train"), correlation(F.when(p.isNotNull(), a), F.when(a.isNotNull(), p)).alias("r"), F.max(F.abs(a - p)).alias("gap"), F.avg((F.round(a) == F.round(p)).cast("double")).alias("acc"), F.count_distinct(a).alias("values")).first()
     n_test, n_all = split.where("role = 'test'").count(), split.count()
     if r.n != n_test:
         kind = "full_data_prediction" if r.n == n_all else "prediction_count_mismatch"
