@@ -226,3 +226,25 @@ def debias(data: DataFrame, x: str, y: str, predictors: list[str], degree: int =
         told.append((p, float(r2), "low" if r2 < 0.1 else "moderate" if r2 < 0.4 else "high"))
         out = out.withColumn(p, F.col(p) - model.expression(beta))
     return out.drop(*basis), data.sparkSession.createDataFrame(told, "predictor string, r2 double, grade string")
+
+
+def distance_profiles(data: DataFrame, folds: DataFrame, targets: DataFrame, x: str = "x", y: str = "y", sample: int = 1000) -> DataFrame:
+    """(kind, d): nearest distances of held-out rows to other folds (cv), of targets to rows (target), of a sample to the rest (sample)."""
+    use = [x, y]
+    rows = data.select("row_id", *use).join(folds.select("row_id", "fold"), "row_id")
+    cv = nearest(rows, rows, use, folds=True).select(F.lit("cv").alias("kind"), "d")
+    away = targets.select((F.col("row_id") + F.lit(1 << 60)).alias("row_id"), *use)
+    target = nearest(away, rows, use).select(F.lit("target").alias("kind"), "d")
+    some = nearest(rows.orderBy(F.xxhash64("row_id")).limit(sample), rows, use).select(F.lit("sample").alias("kind"), "d")
+    return cv.unionByName(target).unionByName(some)
+
+
+def clustered_points(spark, n: int, box: tuple[float, float, float, float], clusters: int = 5, radius: float | None = None, seed: int = 42) -> DataFrame:
+    """A Thomas-like sample in a box: points scattered around random parents."""
+    x0, y0, x1, y1 = box
+    radius = radius or 0.05 * math.hypot(x1 - x0, y1 - y0)
+    rng = np.random.default_rng(seed)
+    parents = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform((x0, y0), (x1, y1), (clusters, 2)))], "parent long, px double, py double")
+    rows = spark.range(n).select((F.col("id") + 1).alias("row_id"), (F.col("id") % clusters).alias("parent"), F.randn(seed).alias("u"), F.randn(seed + 1).alias("v"))
+    clip = lambda c, a, b: F.least(F.lit(float(b)), F.greatest(F.lit(float(a)), c))
+    return rows.join(F.broadcast(parents), "parent").select("row_id", clip(F.col("px") + radius * F.col("u"), x0, x1).alias("x"), clip(F.col("py") + radius * F.col("v"), y0, y1).alias("y"), "parent")

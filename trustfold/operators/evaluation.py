@@ -348,3 +348,63 @@ def local_moran(points: DataFrame, k: int = 8, permutations: int = 99, seed: int
     tested = got.select("row_id", "z", "lag", "local_i").mapInPandas(permuted, f"row_id {dict(points.dtypes)['row_id']}, z double, lag double, local_i double, p double")
     side = lambda c: F.when(F.col(c) >= 0, "high").otherwise("low")
     return tested.select("row_id", "local_i", "p", F.when(F.col("p") <= alpha, F.concat_ws("-", side("z"), side("lag"))).otherwise("none").alias("label"))
+
+
+def transferability(data: DataFrame, model: Linear, x: str, y: str, regions: int = 4, seed: int = 42) -> DataFrame:
+    """(trained, tested, rmse, distance of centres) between k-means regions: one scan for all models and all scores."""
+    from .folds import _clusters
+
+    clustered = _clusters(data, [x, y], regions, seed).where("__cluster is not null")
+    sums = {r["__cluster"]: model.matrix(r) for r in model.products(clustered, ["__cluster"]).collect()}
+    centre = {r["__cluster"]: (r.a, r.b) for r in clustered.groupBy("__cluster").agg(F.avg(x).alias("a"), F.avg(y).alias("b")).collect()}
+    rows = []
+    for i, a in sums.items():
+        beta = np.append(model.solve(a), -1.0)
+        rows += [(i, j, math.sqrt(max(0.0, float(beta @ b @ beta)) / float(b[0, 0])), math.dist(centre[i], centre[j])) for j, b in sums.items()]
+    return data.sparkSession.createDataFrame(rows, "trained int, tested int, rmse double, distance double")
+
+
+def error_profile(rows: DataFrame, di: str = "di", error: str = "abs_error", bins: int = 10):
+    """Mean error by equal-width bins of the dissimilarity, and an isotonic fit that predicts error from it."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import IsotonicRegression
+
+    from .folds import right_closed_bin
+
+    low, high = rows.agg(F.min(di), F.max(di)).first()
+    table = rows.groupBy(right_closed_bin(F.col(di), low, high, bins).alias("bin")).agg(F.count("*").alias("n"), F.avg(di).alias("di"), F.avg(error).alias("error"))
+    ready = VectorAssembler(inputCols=[di], outputCol="__x").transform(rows.dropna(subset=[di, error]))
+    fit = IsotonicRegression(featuresCol="__x", labelCol=error, predictionCol="expected_error").fit(ready)
+    return table, lambda new: fit.transform(VectorAssembler(inputCols=[di], outputCol="__x").transform(new)).drop("__x")
+
+
+def check_residuals(predictions: DataFrame, target: str, x: str, y: str, alpha: float = 0.05) -> dict:
+    """Spatial autocorrelation that a model leaves: none, mild below .3, else strong."""
+    from ..functions.stats import normal_two_sided
+    from .diagnosis import moran
+
+    got = moran(predictions.select("row_id", F.col(x).alias("x"), F.col(y).alias("y"), (F.col(target) - F.col("prediction")).alias("v"))).first()
+    p = normal_two_sided(got.z)
+    found = got.i > 0.05 and p < alpha
+    return {"i": got.i, "p": p, "verdict": "none" if not found else "mild" if got.i < 0.3 else "strong"}
+
+
+def block_sizes(data: DataFrame, target: str, x: str, y: str, v: int = 5, n_sizes: int = 10, reach: float | None = None) -> DataFrame:
+    """(size, score): mean |Moran's I| within the test folds of checkerboards of growing size; the least score is the best size."""
+    from .diagnosis import moran
+    from .folds import checkerboard
+
+    x0, x1, y0, y1 = data.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    extent = max(x1 - x0, y1 - y0)
+    low, high = max(0.5 * (reach or 0), extent / (4 * v)), min(3 * reach, extent / 2) if reach else extent / 2
+    rows = []
+    for i in range(n_sizes):
+        size = low + (high - low) * i / max(n_sizes - 1, 1)
+        folded = written(checkerboard(data, x, y, v, size).select("row_id", F.col(x).alias("x"), F.col(y).alias("y"), F.col(target).alias("v"), "fold"))
+        n = {r.fold: r["count"] for r in folded.groupBy("fold").count().collect()}
+        if len(n) < v:
+            continue
+        scores = [abs(s.i) for k, c in n.items() if c >= 10 and (s := moran(folded.where(F.col("fold") == k).drop("fold")).first()).i is not None]
+        if scores:
+            rows.append((float(size), float(np.mean(scores))))
+    return data.sparkSession.createDataFrame(rows, "size double, score double")
