@@ -15,7 +15,8 @@ from .common import written
 def _relink(pairs: DataFrame) -> DataFrame:
     """pairs(u, v): add ``m``, the least of u and its v."""
     least = pairs.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("w"), F.least("u", "low").alias("m"))
-    return pairs.join(least, F.col("u") == F.col("w")).drop("w")
+    # Written first, so that both sides of the join are dealt out anew and the links of a hub can be split.
+    return pairs.join(written(least), F.col("u") == F.col("w")).drop("w")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
