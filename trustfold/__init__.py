@@ -1,0 +1 @@
+"""Trustworthy model evaluation on Spark DataFrames."""

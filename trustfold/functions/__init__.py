@@ -1,0 +1 @@
+"""Metrics, closed forms and durable tables."""

@@ -1,0 +1 @@
+"""Diagnosis, folds, leakage detectors, evaluation and applicability."""

@@ -1,0 +1 @@
+"""Inputs other than plain tables."""

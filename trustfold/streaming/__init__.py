@@ -1,0 +1 @@
+"""No method here is defined on unbounded input; batch transformations can run inside ``foreachBatch``."""
