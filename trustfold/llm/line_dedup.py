@@ -35,7 +35,7 @@ MIN_CHARS = 32
 _U = np.uint64
 _R = _U(0x5851F42D4C957F2D)
 _R_INV = _U(pow(int(_R), -1, 1 << 64))
-_CHUNK = 1 << 20
+_CHUNK = 1 << 16
 _SMALL = 48
 
 
@@ -324,7 +324,9 @@ def removals(docs: DataFrame, budget: int = BUDGET, min_chars: int = MIN_CHARS)
     where = lambda end: first.select(F.col("line").alias(end), F.col("first").alias(f"first_{end}"))
     later = near.join(where("a"), "a").join(where("b"), "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("line")).distinct()
     judged = first.join(later.withColumn("similar", F.lit(True)), "line", "left").where("n > 1 or similar").select("line", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
-    gone = seen.join(written(judged), "line").where(F.col("similar") | ~place.eqNullSafe(F.col("first")))
+    judged = written(judged)
+    release(docs.sparkSession)  # all that is still to be read is in tables
+    gone = seen.join(judged, "line").where(F.col("similar") | ~place.eqNullSafe(F.col("first")))
     return gone.groupBy("row").agg(F.collect_set("line_no").alias("removed"))
 
 
