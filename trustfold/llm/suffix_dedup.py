@@ -35,8 +35,8 @@ from .common import input_tasks, written
 
 LENGTH = 400
 GRAM = 100
-_PIECE = 2 << 20
-_CHUNK = 2 << 20
+_PIECE = 1 << 17
+_CHUNK = 1 << 19
 _POSITION_BITS = 30
 _U = np.uint64
 _LETTER = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.int64).view(_U) * _U(2) + _U(1)
