@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import text_slices
 
 BUCKET_BITS = 13
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def _clean_table() -> np.ndarray:
@@ -133,11 +133,12 @@ def fit(docs: DataFrame, sample_rows: int = 2048, seed: int = 7) -> LanguageMode
                 count = np.bincount(bucket, minlength=1 << BUCKET_BITS)
                 at = np.flatnonzero(count)
                 rows.append((at.tolist(), count[at].tolist()))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang": frame["lang"], "at": [r[0] for r in rows], "n": [r[1] for r in rows]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang": frame["lang"], "h": frame["h"], "at": [r[0] for r in rows], "n": [r[1] for r in rows]})
 
-    picked = usable.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", "text")
-    rows = picked.mapInPandas(counted, f"doc_id {dict(picked.dtypes)['doc_id']}, lang string, at array<int>, n array<int>").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["at"]))[:sample_rows]
+    picked = usable.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", F.xxhash64("text").alias("h"), "text")
+    counts = picked.mapInPandas(counted, f"doc_id {dict(picked.dtypes)['doc_id']}, lang string, h bigint, at array<int>, n array<int>")
+    # Ids may repeat; the limit holds for rows.
+    rows = counts.orderBy("doc_id", "lang", "h").limit(sample_rows).collect()
     if not rows:
         return None
     x = np.zeros((len(rows), 1 << BUCKET_BITS), np.float32)
