@@ -71,6 +71,21 @@ def test_spatial_rules(spark):
     assert {"spatial_duplicate", "spatial_block_leak", "spatial_buffer_violation", "spatial_proximity", "spatial_overlap"} <= got
 
 
+def test_spatial_rules_beyond_one_block_of_training_rows(spark):
+    rng = np.random.default_rng(5)
+    n = 5400
+    x, y = rng.random(n) * 100, rng.random(n) * 100
+    x[5100:5104], y[5100:5104] = x[:4], y[:4]
+    x[5104:5107], y[5104:5107] = x[5050:5053], y[5050:5053]  # training rows of the second block
+    rows = spark.createDataFrame([(i, float(x[i]), float(y[i]), "train" if i < 5100 else "test") for i in range(n)], "row_id long, lon double, lat double, role string")
+    got = {r.type: r for r in L.spatial_rules(rows, "lon", "lat")}
+    assert got["spatial_duplicate"].n_affected == 7
+    moved = rows.withColumn("lon", F.when(F.col("role") == "test", F.col("lon") + 500).otherwise(F.col("lon")))
+    assert L.spatial_rules(moved, "lon", "lat") == []
+    two = spark.createDataFrame([(0, 0.0, 0.0, "train"), (1, 1.0, 0.0, "train"), (2, 1.0, 0.0, "test")], rows.schema)
+    assert "spatial_duplicate" in types(L.spatial_rules(two, "lon", "lat"))
+
+
 def test_metadata_rules_and_assimilation(spark):
     rng = np.random.default_rng(5)
     data, split = make(spark, y=rng.normal(size=100), a=np.arange(100), b=rng.normal(size=100))

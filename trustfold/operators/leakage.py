@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..functions.common import epoch, written
 from ..functions.metrics import correlation
 from . import integrity
-from .folds import nearest_distances
+from .applicability import nearest
 
 HARD, SOFT = "hard_violation", "soft_inflation"
 
@@ -232,18 +232,19 @@ def tuning_rules(hpo: dict | None, n_train: int = 0, n_test: int = 0) -> list[Ri
 
 
 def spatial_rules(rows: DataFrame, x: str, y: str, block: str | None = None, buffer: float | None = None) -> list[Risk]:
-    """Test rows much nearer to the training rows than these are to each other; shared blocks; rows within the buffer."""
+    """Test rows much nearer to the training rows than these are to each other; shared blocks; rows within the buffer.
+
+    All training rows count, in broadcast blocks of applicability.BLOCK_ROWS.
+    """
     out = []
     train = rows.where("role = 'train'").select("row_id", x, y).dropna()
     test = rows.where("role = 'test'").select("row_id", x, y).dropna()
-    if 3 <= train.limit(5001).count() <= 5000 and not test.isEmpty():
-        own = sorted(nearest_distances(train, train, x, y))
-        median = own[len(own) // 2] if len(own) % 2 else (own[len(own) // 2 - 1] + own[len(own) // 2]) / 2
-        near = nearest_distances(test, train, x, y)
-        close = sum(d < 0.5 * median for d in near)
-        if close > 0.3 * len(near):
-            out.append(Risk("spatial_autocorrelation", SOFT, f"{close} of {len(near)} test rows are closer to training rows than half their median spacing", close))
-        same = sum(d < 0.01 * median for d in near)
+    if len(train.take(2)) == 2 and not test.isEmpty():
+        median = nearest(train, train, [x, y]).agg(F.median("d")).first()[0]
+        at = lambda share: F.count_if(F.col("d") < F.lit(share * median))
+        n_test, close, same = nearest(test, train, [x, y]).agg(F.count("*"), at(0.5), at(0.01)).first()
+        if close > 0.3 * n_test:
+            out.append(Risk("spatial_autocorrelation", SOFT, f"{close} of {n_test} test rows are closer to training rows than half their median spacing", close))
         if same:
             out.append(Risk("spatial_duplicate", HARD, f"{same} test rows lie on training rows", same))
     if block and (n := integrity.group_overlap(rows, block).count()):
