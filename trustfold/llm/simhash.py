@@ -170,8 +170,12 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (signed 64-bit fingerprint), component_id of every row of ``docs(doc_id, text)``."""
     marked = written(docs.select("doc_id", fingerprint_udf(width)("text").alias("fp")))
+    return grouped(marked, fingerprint_links(marked.where("doc_id is not null").select("fp").distinct(), radius))
+
+
+def grouped(marked: DataFrame, links: DataFrame) -> DataFrame:
+    """marked(doc_id, fp) and links(fa, fb) to marked with component_id, the least id that is linked to a row."""
     nodes = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    links = fingerprint_links(nodes, radius)
     a, b = nodes.select(F.col("fp").alias("fa"), F.col("rep").alias("u")), nodes.select(F.col("fp").alias("fb"), F.col("rep").alias("v"))
     # One id may stand on several rows with different texts; its fingerprints are then linked through it.
     same = marked.where("doc_id is not null").join(nodes, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
@@ -188,7 +192,12 @@ def keep_first(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFra
 
     Rows without an id stay. Of several rows of that id the one with the least text stays.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), width, radius).where("doc_id = component_id")
+    return keep_heads(docs, near_duplicates(docs.select("doc_id", "text"), width, radius))
+
+
+def keep_heads(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is that of their group in found(doc_id, component_id); see :func:`keep_first`."""
+    found = found.where("doc_id = component_id")
     heads = written(found.groupBy(F.col("doc_id").alias("__head")).agg(F.count("*").alias("__n")))
     once = docs.join(heads.where("__n = 1"), F.col("doc_id") == F.col("__head"), "left_semi")
     again = docs.join(heads.where("__n > 1"), F.col("doc_id") == F.col("__head"), "left_semi")
