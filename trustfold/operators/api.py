@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import diagnosis as D
 from . import evaluation as E
-from . import guards, integrity, leakage
+from . import guards, integrity, leakage, scope
 
 # Column names that say what a column is.
 COORDINATES = [("lon", "lat"), ("longitude", "latitude"), ("x", "y"), ("lng", "lat"), ("decimallon", "decimallat"), ("decimallongitude", "decimallatitude")]
@@ -58,23 +58,43 @@ def check(data: DataFrame, split: DataFrame, **workflow) -> DataFrame:
     return leakage.risk_rows(data.sparkSession, leakage.validate(leakage.Workflow(data, split, **workflow)))
 
 
-def inspect(thing, rows: DataFrame | None = None, **how) -> list[leakage.Risk]:
-    """Risks of a fitted Spark ML stage or pipeline (against rows with a role), of a cross-validator, or of fold tables."""
+def inspect(thing, rows: DataFrame | None = None, kind: str = "vfold", **how) -> list[leakage.Risk]:
+    """Risks of a fitted Spark ML stage, model or pipeline (against rows with a role), of a cross-validator, or of fold tables.
+
+    kind: what a fold table is used for, a key of scope.FOLD_RISKS.
+    """
     name = type(thing).__name__
     if name == "CrossValidatorModel":
         best = thing.bestModel
-        out = leakage.inspect_stage(best, rows) if hasattr(best, "stages") else []
-        return out + leakage.tuning_rules({"cv_type": "simple", "nested": how.get("nested")})
+        return inspect(best, rows) + leakage.tuning_rules({"cv_type": "simple", "nested": how.get("nested")})
     if isinstance(thing, DataFrame):
-        bad = leakage.fold_leaks(thing, rows.select("row_id", "role")).where("n_test_leaked > 0").collect()
-        return [leakage.Risk("cv_leak", leakage.HARD, f"fold {r.fold} trains on {r.n_test_leaked} test rows", r.n_test_leaked, "folds") for r in bad]
-    return leakage.inspect_stage(thing, rows)
+        return scope.resampling_risks(thing, rows.select("row_id", "role"), kind)
+    if hasattr(thing, "stages"):
+        return [r for row in _stages(thing, rows) for r in row[2]]
+    out = leakage.inspect_stage(thing, rows) + (scope.inspect_boosting(thing, rows) if name.startswith("GBT") else [])
+    size = scope.fitted_size(thing)
+    if size is not None:
+        n_train, n_all = rows.agg(F.count_if(F.col("role") == "train"), F.count("*")).first()
+        out += scope.size_scope(size, n_train, n_all, "model", name)
+    return out
+
+
+def _stages(model, rows: DataFrame) -> list[tuple]:
+    """(number, kind, risks) of a pipeline's stages; what follows a predictive model is flagged for review."""
+    out, predicts = [], False
+    for i, s in enumerate(model.stages):
+        risks = inspect(s, rows)
+        if predicts:
+            risks = [*risks, leakage.Risk("pipeline_postprocessing", leakage.SOFT, f"stage {i} works on the model's results", 0, type(s).__name__)]
+        out.append((i, type(s).__name__, risks))
+        predicts = predicts or hasattr(s, "getPredictionCol")
+    return out
 
 
 def inspect_pipeline(model, rows: DataFrame) -> DataFrame:
-    """(stage number, stage, leaks) of a pipeline."""
-    got = [(i, type(s).__name__, bool(leakage.inspect_stage(s, rows))) for i, s in enumerate(model.stages)]
-    return rows.sparkSession.createDataFrame(got, "stage int, kind string, leaks boolean")
+    """(stage number, kind, leaks, risks) of a pipeline; leaks: a hard risk."""
+    got = [(i, k, any(r.severity == leakage.HARD for r in risks), [r.type for r in risks]) for i, k, risks in _stages(model, rows)]
+    return rows.sparkSession.createDataFrame(got, "stage int, kind string, leaks boolean, risks array<string>")
 
 
 def check_nested(inner: DataFrame, split: DataFrame, recommended: str | None = None, inner_method: str = "random") -> list[leakage.Risk]:
@@ -111,5 +131,5 @@ def workflow(data: DataFrame, target: str, features: list[str], roles: Roles | N
     else:
         held = E.held_out(data, folds, fitter or E.Linear(target, features))
     x, y = roles.coords or (None, None)
-    names = [r for r in leakage.target_names(features, target)]
-    return Result(d, folds, E.fold_performance(held, target, x, y), names)
+    risks = leakage.target_names(features, target) + scope.workflow_risks(data, folds, roles.time, roles.group)
+    return Result(d, folds, E.fold_performance(held, target, x, y), risks)

@@ -96,7 +96,8 @@ def initial_split(data: DataFrame, share: float = 0.75, time: str | None = None,
     return O.random_split(data, share, seed)
 
 
-RANDOM_METHODS = ("cv", "repeatedcv", "boot", "boot632", "optimism_boot", "LGOCV")
+# Resampling methods that deal rows at random.
+RANDOM_METHODS = ("cv", "repeatedcv", "boot", "boot632", "optimism_boot", "LOOCV")
 
 
 def train_control(data: DataFrame, method: str, override: bool = False, **roles) -> dict:

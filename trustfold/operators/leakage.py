@@ -25,8 +25,9 @@ TARGET_NAMES = [
     "^outcome", "^target", "^label", "^y_", "_outcome$", "_target$", "_label$", "^future_", "_future$", "^next_", "_next$", "^result", "_result$",
     "_encoded$", "_mean_target$", "_target_mean$",
 ]
+# Names of rank-like and of rolling columns.
 RANK_NAMES = re.compile("rank|percentile|quantile|pct", re.I)
-ROLLING_NAMES = re.compile("roll|rolling|window|moving|lag|lead|cumsum|cummean|diff_", re.I)
+ROLLING_NAMES = re.compile("roll|rolling|window|moving|lag|lead|cumsum|cummax|cummin|cummean|ewm|ema|sma|diff_", re.I)
 
 
 @dataclass(frozen=True)
@@ -56,6 +57,12 @@ FIXES = {
     "hpo_cv_bias": "Tune in an inner loop and evaluate in an outer one",
     "hpo_test_leak": "Tune without the test rows",
     "nested_cv_leak": "Draw inner folds from the outer training rows",
+    "model_scope": "Fit the model again on the training rows only",
+    "model_data_leak": "Fit the model again on the training rows only",
+    "cv_scope": "Make folds of the training rows only",
+    "cv_leak": "Make folds of the training rows only",
+    "tune_on_full_data": "Tune on resamples of the training rows",
+    "pipeline_postprocessing": "See that steps after the model do not read test rows",
 }
 
 
@@ -368,9 +375,11 @@ def youden_threshold(predictions: DataFrame, actual: str, score: str, most: int
     return predictions.agg(F.array_max(F.array(*j)).alias("best")).select((-F.col("best.c")).alias("threshold"), F.col("best.j").alias("j"))
 
 
-def audit_predictions(predictions: DataFrame, split: DataFrame, actual: str = "actual", predicted: str = "prediction") -> list[Risk]:
-    """predictions(row_id, actual, prediction) of test rows: counts, perfect fits and predictions of training rows."""
+def audit_predictions(predictions: DataFrame, split: DataFrame, actual: str = "actual", predicted: str = "prediction", model_risks: list[Risk] = ()) -> list[Risk]:
+    """predictions(row_id, actual, prediction) of test rows: counts, perfect fits, predictions of training rows, and hard risks of their model."""
     out = []
+    if n_hard := sum(r.severity == HARD for r in model_risks):
+        out.append(Risk("model_leakage", HARD, f"the model behind the predictions has {n_hard} hard risks", 0, "model"))
     joined = predictions.join(split.select("row_id", "role"), "row_id", "left")
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     r = joined.agg(F.count("*").alias("n"), F.count_if(F.col("role") == "train").alias("train"), correlation(F.when(p.isNotNull(), a), F.when(a.isNotNull(), p)).alias("r"), F.max(F.abs(a - p)).alias("gap"), F.avg((F.round(a) == F.round(p)).cast("double")).alias("acc"), F.count_distinct(a).alias("values")).first()

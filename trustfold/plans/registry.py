@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import diagnosis_queries, evaluation_queries, fold_queries, leakage_queries
+from . import diagnosis_queries, evaluation_queries, fold_queries, leakage_queries, scope_queries
 
-MODULES = (leakage_queries, diagnosis_queries, fold_queries, evaluation_queries)
+MODULES = (leakage_queries, diagnosis_queries, fold_queries, evaluation_queries, scope_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
