@@ -35,14 +35,14 @@ def test_banded_distance_matches_plain():
     assert ld.within([long, long], [long[:-1] + "cc", "ccc" + long], 2).tolist() == [True, False]
 
 
-def brute(docs, budget, least):
+def brute(docs, budget, least, exact=ld.EXACT_CHARS):
     order = sorted((i is None, i, k, d) for d, (i, t) in enumerate(docs) for k, _ in enumerate((t or "").split("\n")) if True)
     seen, gone = [], {}
     for _, _, k, d in order:
         t = ld.normal(docs[d][1].split("\n")[k]) if docs[d][1] else ""
-        if len(t) < least:
+        if len(t) < min(least, exact):
             continue
-        if any(ld._plain(t, s) <= budget for s in seen):
+        if t in seen or len(t) >= least and any(len(s) >= least and abs(len(s) - len(t)) <= budget and ld._plain(t, s) <= budget for s in seen):
             gone.setdefault(d, set()).add(k)
         if t not in seen:
             seen.append(t)
@@ -62,15 +62,81 @@ def test_documents_match_brute_force(spark):
             assert got[i].text == keep and got[i].n_removed == len(want.get(d, ()))
 
 
+def similar_pool(rng, n):
+    head, tail = "same start of every line ", " and the same end of it all"
+    return list(dict.fromkeys(edits(rng, head, rng.randrange(3)) + edits(rng, "middle part", rng.randrange(3)) + tail for _ in range(n)))
+
+
 def test_large_buckets_lose_nothing():
     rng = random.Random(8)
-    head, tail = "same start of every line ", " and the same end of it all"
-    pool = sorted({head + edits(rng, "middle part", rng.randrange(3)) + tail for _ in range(150)})
+    pool = similar_pool(rng, 150)
+    want = {(i, j) for i in range(len(pool)) for j in range(i + 1, len(pool)) if ld._plain(pool[i], pool[j]) <= 2}
     key, line, probe, sketch = ld.keys(pool, 2, 10)
     order = np.argsort(key, kind="stable")
-    got = {tuple(p) for p in ld.bucket_pairs(key[order], (line * 2 + probe)[order], sketch[order], 2).tolist()}
+    rows = key[order], (line * 2 + probe)[order], sketch[order]
+    for most in (4, 1000):
+        pairs, members = ld.bucket_pairs(*rows, 2, most)
+        got = {tuple(p) for p in pairs.tolist()}
+        buckets = {}
+        for at in members.tolist():
+            buckets.setdefault(int(rows[0][at]), set()).add(int(rows[1][at]) >> 1)
+        assert bool(members.size) == (most == 4)
+        assert all(p in got or any(p[0] in b and p[1] in b for b in buckets.values()) for p in want) and len(want) > 500
+
+
+def test_meeting_streams_large_and_hot_buckets(monkeypatch):
+    """Cut into batches anywhere, with hot keys and with buckets that pass through, no pair is lost."""
+    rng = random.Random(4)
+    pool = similar_pool(rng, 60) + lines(rng, 30)
+    pool = [p for p in dict.fromkeys(pool) if len(p) >= 10]
     want = {(i, j) for i in range(len(pool)) for j in range(i + 1, len(pool)) if ld._plain(pool[i], pool[j]) <= 2}
-    assert want <= got and len(want) > 500
+    key, line, probe, sketch = ld.keys(pool, 2, 10)
+    order = np.argsort(key, kind="stable")
+    key, mark, sketch = key[order], (line * 2 + probe)[order], sketch[order].view(np.int64)
+    for large, hot in ((1 << 16, False), (20, False), (20, True)):
+        monkeypatch.setattr(ld, "_LARGE", large)
+        salt = ((key % 3 == 0) & hot).astype(np.int16)
+        cuts = sorted({0, len(key), *(rng.randrange(len(key)) for _ in range(40))})
+        batches = [ld.pa.RecordBatch.from_pydict({"key": key[a:b], "mark": mark[a:b], "sketch": sketch[a:b]} | ({"salt": salt[a:b]} if hot else {})) for a, b in zip(cuts, cuts[1:])]
+        rows = [r for b in ld._meet(2)(iter(batches)) for r in b.to_pylist()]
+        got = {(r["a"], r["b"]) for r in rows if r["key"] is None}
+        buckets = {}
+        for r in rows:
+            if r["key"] is not None:
+                buckets.setdefault(r["key"], set()).add(r["a"])
+        assert all(p in got or any(p[0] in b and p[1] in b for b in buckets.values()) for p in want) and len(want) > 50
+
+
+def test_split_buckets_match_brute_force(spark):
+    rng = random.Random(9)
+    pool = similar_pool(rng, 70) + ["one of quite other lines " + "".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(60)]
+    rng.shuffle(pool)
+    later = {j for j in range(len(pool)) for i in range(j) if ld._plain(pool[i], pool[j]) <= 2}
+    known = spark.createDataFrame([(100 + i, t, (i,)) for i, t in enumerate(pool)], "line long, words string, place struct<n:int>")
+    members = spark.createDataFrame([(k, 100 + i) for i in range(len(pool)) for k in (1, 2 + i % 2)], "key long, line long")
+    for most in (8, 80, 4096):
+        got = {r.line - 100 for r in ld.bucket_witnesses(members, known, 2, most).collect()}
+        assert got == later and len(later) > 20
+
+
+def test_many_similar_lines(spark):
+    """A group of 2000 similar lines gives what brute force gives, and at most one row a line and bucket."""
+    rng = random.Random(12)
+    pool = list(dict.fromkeys(ld.normal(edits(rng, "a common line that stands in very many documents " + "xyz"[i % 3] * 9, rng.randrange(4))) for i in range(2600)))[:2000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(pool)], "doc_id long, text string").repartition(7)
+    i, j = np.triu_indices(len(pool), 1)
+    sketch = ld._text_sketches(pool)
+    near = np.flatnonzero(ld.sketch_gap(sketch[i], sketch[j]) <= 8)
+    near = near[ld.within([pool[k] for k in i[near].tolist()], [pool[k] for k in j[near].tolist()], 2)]
+    later = set(j[near].tolist())
+    got = {r.doc_id for r in ld.dedup_lines(docs).collect() if r.n_removed}
+    assert got == later and len(later) > 1500
+
+
+def test_short_lines_repeat_exactly(spark):
+    rows = [(1, "all rights reserved."), (2, "All  rights reserved.\nyes"), (3, "all rights reserved!\nyes"), (4, "{\n}\nyes")]
+    got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "yes", 3: rows[2][1], 4: rows[3][1]}
 
 
 def test_edge_cases(spark):
