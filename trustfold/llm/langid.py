@@ -6,9 +6,13 @@ through a linear softmax. Embeddings and weights are trained together by stochas
 numpy on the driver, on a bounded sample of labelled rows; at prediction time embeddings and weights are
 folded into one table of per-bucket class scores, so that memory is small and fixed.
 
-Rejection is calibrated: a temperature is fitted on a calibration part of the sample, and a document is
-rejected if its calibrated confidence is below the threshold under which only ``false_reject`` of the right
-calibration answers fall, halved for caution. Texts that are null or have no letter are ``und`` and rejected.
+Rejection is calibrated. Of some sampled texts garbled versions (their letters shuffled, or drawn anew) train a class of noise,
+and short stretches of some train their language, as a text may be one word. On a calibration part of the sample a temperature is
+fitted; a document's score is the probability of its best language, the noise among the alternatives, and it is
+rejected if that is below the threshold under which only ``false_reject`` of the right calibration answers fall. Texts of less than
+``SHORT_BYTES`` say less, and have a threshold of their own; both are lowered by ``margin`` in log odds, as the calibration part is small. The model also carries the share of garbled calibration texts above
+the thresholds (``false_accept``).
+Texts that are null or have no letter are ``und`` and rejected.
 
 Defined cases: rows without language or id do not train; with no labelled row at all every text is ``und``
 with score zero. Repeated rows are predicted alike; very long texts are read whole; other
@@ -17,6 +21,7 @@ columns pass through unless they are named lang_pred, score or rejected, which a
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import text_slices
 
 BUCKET_BITS = 13
+SHORT_BYTES = 200
 _CHUNK = 1 << 18
+_LETTERS = re.compile(r"[^\W\d_]")
 
 
 def _clean_table() -> np.ndarray:
@@ -58,13 +65,15 @@ def gram_buckets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class LanguageModel:
     labels: list[str]
-    scores: np.ndarray  # buckets x labels: embeddings times weights
+    scores: np.ndarray  # labels and noise x buckets: embeddings times weights
     bias: np.ndarray
     temperature: float
     threshold: float
+    short_threshold: float
+    false_accept: float
 
     def logits(self, texts: list[bytes | None]) -> np.ndarray:
-        out, at = np.zeros((len(texts), len(self.labels)), np.float64), 0
+        out, at = np.zeros((len(texts), len(self.bias)), np.float64), 0
         while at < len(texts):
             end, total = at, 0
             while end < len(texts) and (end == at or total + len(texts[end] or b"") <= _CHUNK):
@@ -72,13 +81,14 @@ class LanguageModel:
                 end += 1
             bucket, starts = gram_buckets(texts[at:end])
             count = np.diff(np.concatenate([starts, [len(bucket)]]))
-            for k in range(len(self.labels)):
+            for k in range(len(self.bias)):
                 out[at:end, k] = np.add.reduceat(self.scores[k][bucket], starts, dtype=np.float64) / count
             at = end
         return out + self.bias
 
     def probabilities(self, texts: list[bytes | None]) -> np.ndarray:
-        return _softmax(self.logits(texts) / self.temperature)
+        """Of the languages; what is left to one is the noise's."""
+        return _softmax(self.logits(texts) / self.temperature)[:, :-1]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -86,10 +96,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, labels: list[str], width: int = 16, epochs: int = 40, rate: float = 20.0, batch: int = 32, seed: int = 7, calibration: float = 0.25, false_reject: float = 0.001) -> LanguageModel:
-    """x: rows of bucket shares; y: label numbers. SGD on softmax(mean embedding @ weights + bias)."""
+def garbled(text: str, seed: int, fresh: bool) -> str:
+    """The text with its letters and signs shuffled over its words, or drawn anew from a to z."""
     rng = np.random.default_rng(seed)
-    n, k = len(y), len(labels)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    word = np.flatnonzero(code > 32)
+    code[word] = rng.integers(97, 123, len(word)) if fresh else rng.permutation(code[word])
+    return code.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def train(
+    x: np.ndarray, y: np.ndarray, short: np.ndarray, labels: list[str], width: int = 16, epochs: int = 12, rate: float = 40.0, batch: int = 64, seed: int = 7, calibration: float = 0.25,
+    false_reject: float = 0.001, margin: float = 1.5,
+) -> LanguageModel:
+    """x: rows of bucket shares; y: label numbers, len(labels) for noise; short: of short texts. SGD on softmax(mean embedding @ weights + bias)."""
+    rng = np.random.default_rng(seed)
+    n, k = len(y), len(labels) + 1
     held = rng.permutation(n)
     cut = max(1, int(n * (1 - calibration)))
     fit, cal = held[:cut], held[cut:] if cut < n else held
@@ -111,41 +133,58 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], width: int = 16, epoc
     right = y[cal]
     loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(right)), right], 1e-12)).mean()
     temperature = min(np.geomspace(0.1, 10, 61).tolist(), key=loss)
-    p = _softmax(z / temperature)
-    good = p.argmax(axis=1) == right
-    floor = 0.5 * float(np.quantile(p.max(axis=1)[good], false_reject)) if good.any() else 0.0
-    return LanguageModel(labels, np.ascontiguousarray((e @ w).T, np.float32), b.astype(np.float64), temperature, max(floor, 1.0 / k if k > 1 else 0.0))
+    p = _softmax(z / temperature)[:, :-1]
+    good, noise = (p.argmax(axis=1) == right) & (right < k - 1), right == k - 1
+    top, few = p.max(axis=1), short[cal]
+    low = lambda q: q / (q + (1 - q) * np.exp(margin))
+    at = lambda some: float(low(np.quantile(top[some], false_reject))) if some.any() else 0.0
+    limits = at(good & ~few), at(good & few)
+    accept = float((top[noise] >= np.where(few[noise], limits[1], limits[0])).mean()) if noise.any() else 0.0
+    return LanguageModel(labels, np.ascontiguousarray((e @ w).T, np.float32), b.astype(np.float64), temperature, *limits, accept)
 
 
 def fit(docs: DataFrame, sample_rows: int = 2048, seed: int = 7) -> LanguageModel | None:
     """Train on at most ``sample_rows`` rows of docs(doc_id, text, lang), those with the least hashes.
 
-    The bound is on rows; each is read whole and reduced on the executors to its bucket counts.
+    The bound is on rows; each is read whole and reduced on the executors to its bucket counts. Half of them also give a
+    garbled version, a short stretch and that one garbled, so three rows of counts for each sampled row are the bound in memory.
     """
     usable = docs.where("doc_id is not null and text is not null and lang is not null")
     ids = usable.select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_rows).select("doc_id").distinct()
 
     def counted(frames):
         for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                bucket, _ = gram_buckets([text.encode()])
-                count = np.bincount(bucket, minlength=1 << BUCKET_BITS)
-                at = np.flatnonzero(count)
-                rows.append((at.tolist(), count[at].tolist()))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang": frame["lang"], "h": frame["h"], "at": [r[0] for r in rows], "n": [r[1] for r in rows]})
+            out = []
+            for i, (text, h) in enumerate(zip(frame["text"], frame["h"])):
+                if not _LETTERS.search(text):
+                    continue
+                some = [("text", text)]
+                pick = h & 7
+                if pick < 4:
+                    some.append(("noise", garbled(text, h & 0xFFFF, pick == 0)))
+                    words = text.split()
+                    at, n = (h >> 3 & 0xFFFF) % max(1, len(words)), 1 + (h >> 19 & 7)
+                    short = " ".join(words[at : at + n])
+                    some += [("text", short), ("noise", garbled(short, h & 0xFFFF, pick == 1))] if _LETTERS.search(short) else []
+                for kind, t in some:
+                    bucket, _ = gram_buckets([t.encode("utf-8", "surrogatepass")])
+                    count = np.bincount(bucket, minlength=1 << BUCKET_BITS)
+                    on = np.flatnonzero(count)
+                    out.append((frame["doc_id"][i], frame["lang"][i] if kind == "text" else None, h, on.tolist(), count[on].tolist()))
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "h", "at", "n"])
 
     picked = usable.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", F.xxhash64("text").alias("h"), "text")
     counts = picked.mapInPandas(counted, f"doc_id {dict(picked.dtypes)['doc_id']}, lang string, h bigint, at array<int>, n array<int>")
     # Ids may repeat; the limit holds for rows.
-    rows = counts.orderBy("doc_id", "lang", "h").limit(sample_rows).collect()
+    rows = counts.orderBy("doc_id", "h", "lang", F.hash("at", "n")).limit(3 * sample_rows).collect()
     if not rows:
         return None
     x = np.zeros((len(rows), 1 << BUCKET_BITS), np.float32)
     for i, r in enumerate(rows):
         x[i, r["at"]] = np.array(r["n"], np.float32) / sum(r["n"])
-    labels = sorted({r["lang"] for r in rows})
-    return train(x, np.array([labels.index(r["lang"]) for r in rows]), labels, seed=seed)
+    labels = sorted({r["lang"] for r in rows if r["lang"] is not None})
+    y = np.array([labels.index(r["lang"]) if r["lang"] is not None else len(labels) for r in rows])
+    return train(x, y, np.array([sum(r["n"]) <= SHORT_BYTES for r in rows]), labels, seed=seed)  # a text has a gram a byte and one more
 
 
 def predict_udf(model: LanguageModel):
@@ -171,6 +210,6 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: Column | None =
         {
             "lang_pred": F.when(letters, F.col("__said.lang")).otherwise("und"),
             "score": F.when(letters, F.col("__said.score")).otherwise(0.0),
-            "rejected": ~letters | (F.col("__said.score") < model.threshold),
+            "rejected": ~letters | (F.col("__said.score") < F.when(F.octet_length(text) < SHORT_BYTES, model.short_threshold).otherwise(model.threshold)),
         }
     ).drop("__said")
