@@ -1,3 +1,9 @@
+import itertools
+import math
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from trustfold.llm import queries, url_filter as u
@@ -59,7 +65,68 @@ def test_mined_rules_match_brute_force(spark):
     mined = u.mine_rules(spark.createDataFrame([(sorted(t), b) for t, b in rows], "tokens array<string>, bad boolean"), 0.05, 0.9).collect()
     for r in mined:
         hit = [b for t, b in rows if set(r.tokens) <= t]
-        assert abs(r.confidence - sum(hit) / len(hit)) < 1e-9 and sum(hit) / len(rows) >= 0.05
+        share, n = sum(hit) / len(hit), len(hit)
+        low = (share + 1.96**2 / (2 * n) - 1.96 * math.sqrt(share * (1 - share) / n + 1.96**2 / (4 * n * n))) / (1 + 1.96**2 / n)
+        assert abs(r.confidence - low) < 1e-9 and low >= 0.9 and sum(hit) / len(rows) >= 0.05
+
+
+def brute_rules(rows, min_bad, least):
+    """All token combinations of up to four that are rules, without those that hold a shorter one."""
+    counts = Counter()
+    for tokens, bad in rows:
+        for k in range(1, 5):
+            for c in itertools.combinations(sorted(tokens), k):
+                counts[c, bad] += 1
+    found = set()
+    for c in {c for c, _ in counts}:
+        hit, n = counts[c, True], counts[c, True] + counts[c, False]
+        share = hit / n
+        low = (share + 1.96**2 / (2 * n) - 1.96 * math.sqrt(share * (1 - share) / n + 1.96**2 / (4 * n * n))) / (1 + 1.96**2 / n)
+        if hit >= min_bad and low >= least:
+            found.add(frozenset(c))
+    return {c for c in found if not any(d < c for d in found)}
+
+
+def test_rules_stand_on_enough_bad_pages(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(600):
+        host, word = rng.choice(["a", "b", "c", "d"]), rng.choice(["x", "y", "z"])
+        bad = rng.random() < (0.95 if (host, word) in (("a", "x"), ("b", "z")) else 0.1)
+        rows.append((i, f"http://{host}site.com/{word}word/{i}.html", bad))
+    rows += [(600 + i, f"http://once{i}.com/only", True) for i in range(9)] + [(700 + i, f"http://rare.com/r{i % 3}are", True) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    tokens = df.select(u.url_tokens(u.url_host(F.col("url")), u.url_path(F.col("url"))).alias("tokens"), "bad")
+    plain = [(set(r.tokens), r.bad) for r in tokens.collect()]
+    got = {frozenset(r.tokens) for r in u.mine_rules(tokens).collect()}
+    assert got == brute_rules(plain, 10, 0.5) and got and not any("rare" in t or "once" in t for c in got for t in c)
+    verdicts = {r.page_id: r.verdict for r in u.filter_urls(df.select("page_id", "url"), df.select("page_id", "bad")).collect()}
+    assert all((verdicts[i] == "block") == any(c <= t for c in got) for (i, _, _), (t, _) in zip(rows, plain))
+
+
+def test_given_tables_give_no_chance_rules(spark):
+    """A page that no explicit rule decides is blocked only by a rule that brute force finds as well; on these tables there is none."""
+    folder = "/root/testdata/sf0.01"
+    pages, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("pages", "labels"))
+    bad = {r.doc_id: r.toxic == 1 for r in labels.collect()}
+    rows = []
+    for r in pages.select("url", u.url_tokens(u.url_host(F.col("url")), u.url_path(F.col("url"))).alias("tokens")).collect():
+        doc = re.search(r"([0-9]+)[^0-9]*$", brute_split(r.url)[1])
+        if doc and int(doc[1]) in bad:
+            rows.append((set(r.tokens), bad[int(doc[1])]))
+    rules = brute_rules(rows, 10, 0.5)
+    got = queries.op3_url_filter(spark, folder).where("rule is null").collect()
+    assert len(rows) > 50 and not rules
+    assert all(r.verdict == "allow" for r in got)
+
+
+def test_long_urls_ties_and_clashing_columns(spark):
+    long = "http://h.com/" + "a" * 200_000 + "/5"
+    rows = [(1, long, "v", "r"), (1, long, "v", "r"), (2, "http://h.com/t", "v", "r")]
+    df = spark.createDataFrame(rows, "page_id long, url string, verdict string, rule string")
+    ties = [("block", "h.com", "/t"), ("allow", "com", "/t"), ("allow", "h.com", "/a"), ("block", "h.com", "/a")]
+    got = sorted((r.page_id, len(r.path), r.rule, r.verdict) for r in u.filter_urls(df, df.select("page_id", F.lit(None).cast("boolean").alias("bad"), "url"), ties).collect())
+    assert [g[:3] for g in got] == [(1, 200_003, "h.com/a")] * 2 + [(2, 2, "h.com/t")] and got[2][3] == "block"
 
 
 def test_empty_tables_and_null_labels(spark):

@@ -41,9 +41,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules are mined from ``labels`` whose id is a page's id: a toxic label marks a bad page."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("toxic") == 1).alias("bad"))
-    return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
+    """Rules are mined from ``labels`` of the document that a page holds, whose id is the last number of the url's path: a toxic document marks a bad page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    held = F.expr("try_cast(nullif(regexp_extract(path, '([0-9]+)[^0-9]*$', 1), '') AS bigint)")
+    holds = pages.select("page_id", url_filter.url_path(F.col("url")).alias("path")).select("page_id", held.alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("bad"))
+    return url_filter.filter_urls(pages, holds.join(labels, "doc_id").select("page_id", "bad"), URL_RULES)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

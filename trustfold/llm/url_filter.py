@@ -3,13 +3,17 @@
 A page's url is split into host and path, explicit rules (host suffix, path prefix) are applied
 with the longest rule winning, and what no explicit rule decides is judged by rules that Spark's
 FP-growth mines from labelled urls: token combinations whose presence implies the bad label with
-enough support and confidence. Mined rules are matched through an inverted index keyed by each
-rule's rarest token.
+enough support and confidence. A rule stands on ``min_bad`` bad pages at least, however small the table is, and its confidence is
+the lower end of a 95 % interval, so a coincidence of a few pages is none. Mined rules are matched through an inverted index
+keyed by each rule's rarest token.
+
+Mined rules are worth what the labels are worth: they say where labelled pages were bad, and nothing about hosts without labels.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, matches no rule and
-has no tokens, so it is allowed. Repeated rows are judged alike and all kept. Null labels and ids
+has no tokens, so it is allowed. Very long urls are read whole. Of explicit rules of equal length the one that is last in
+alphabetical order wins, and of mined rules of equal confidence likewise. Repeated rows are judged alike and all kept. Null labels and ids
 do not take part in mining. An empty page or label table gives an empty result or no mined rules.
-Columns of the inputs other than those named are ignored.
+Columns of the inputs other than those named are ignored, also such as are named like the results.
 """
 
 from __future__ import annotations
@@ -37,9 +41,10 @@ def url_path(url: Column) -> Column:
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: host labels (h:), and path words split at punctuation (p:)."""
+    """Distinct tokens: host labels (h:), and path words split at punctuation (p:). All numbers are one word, as each names one page."""
     labels = F.transform(F.split(host, r"[.:@]"), lambda x: F.concat(F.lit("h:"), x))
-    words = F.transform(F.split(ascii_lower(path), r"[^\p{L}\p{N}]+"), lambda x: F.concat(F.lit("p:"), x))
+    words = F.split(F.regexp_replace(ascii_lower(path), r"\p{N}+", "0"), r"[^\p{L}\p{N}]+")
+    words = F.transform(words, lambda x: F.concat(F.lit("p:"), x))
     return F.array_sort(F.array_distinct(F.filter(F.concat(labels, words), lambda x: F.length(x) > 2)))
 
 
@@ -70,23 +75,33 @@ def explicit_rule(df: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataF
     return df.join(best, ["host", "path"], "left")
 
 
+def lower_bound(share: Column, n: Column, z: float = 1.96) -> Column:
+    """Lower end of Wilson's interval for a share of n."""
+    half = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return (share + z * z / (2 * n) - half) / (1 + z * z / n)
+
+
 def mine_rules(
-    labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9, max_tokens: int = 4
+    labelled: DataFrame, min_support: float = 0.0005, min_confidence: float = 0.5, max_tokens: int = 4, min_bad: int = 10
 ) -> DataFrame:
     """(tokens, rarest, confidence, support) of the combinations that imply a bad label.
 
     labelled: ``tokens array<string>, bad boolean``. A rule's support is the share of labelled
-    urls that hold its tokens and are bad. A rule is dropped when a part of it is a rule as well.
+    urls that hold its tokens and are bad; it is ``min_bad`` urls at least. Its confidence is the lower end of the interval of the share
+    of bad ones. A rule is dropped when a part of it is a rule as well.
     """
     bad = "label:bad"
     basket = labelled.select(
         F.when(F.col("bad"), F.array_append("tokens", F.lit(bad))).otherwise(F.col("tokens")).alias("items")
     ).where(F.size("items") > 0)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(basket)
+    total = max(1, basket.count())
+    # Half a url below the floor, so that rounding drops no rule that stands on it.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, (min_bad - 0.5) / total)), minConfidence=min_confidence).fit(basket)
     found = durable(
         model.associationRules.where(F.col("consequent") == F.array(F.lit(bad)))
         .where(F.size("antecedent") <= max_tokens)
-        .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+        .select(F.array_sort("antecedent").alias("tokens"), lower_bound(F.col("confidence"), F.col("support") * total / F.col("confidence")).alias("confidence"), "support")
+        .where(F.col("confidence") >= min_confidence)
     )
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq")
     rarest = (
@@ -128,9 +143,10 @@ def filter_urls(
     pages: DataFrame,
     labels: DataFrame,
     rules: Sequence[tuple[str, str, str]] = (),
-    min_support: float = 0.002,
-    min_confidence: float = 0.9,
+    min_support: float = 0.0005,
+    min_confidence: float = 0.5,
     default: str = "allow",
+    min_bad: int = 10,
 ) -> DataFrame:
     """Verdicts of ``pages(page_id, url)`` given ``labels(page_id, bad boolean)`` and explicit rules.
 
@@ -139,7 +155,7 @@ def filter_urls(
     split = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     marks = labels.where(F.col("page_id").isNotNull() & F.col("bad").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
     labelled = split.join(marks, "page_id").select(url_tokens(F.col("host"), F.col("path")).alias("tokens"), "bad")
-    mined = mine_rules(labelled, min_support, min_confidence)
+    mined = mine_rules(labelled, min_support, min_confidence, min_bad=min_bad)
     judged = explicit_rule(split, rules)
     if mined.isEmpty():
         found = judged.withColumns({"mined_rule": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
