@@ -9,25 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
-def _relink(pairs: DataFrame) -> DataFrame:
-    """pairs(u, v): add ``m``, the least of u and its v."""
+def _relink(pairs: DataFrame, spent: list[DataFrame]) -> DataFrame:
+    """pairs(u, v): add ``m``, the least of u and its v. The table that it writes goes to ``spent``."""
     least = pairs.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("w"), F.least("u", "low").alias("m"))
     # Written first, so that both sides of the join are dealt out anew and the links of a hub can be split.
-    return pairs.join(written(least), F.col("u") == F.col("w")).drop("w")
+    spent.append(written(least))
+    return pairs.join(spent[-1], F.col("u") == F.col("w")).drop("w")
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, spent: list[DataFrame]) -> DataFrame:
     both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    moved = _relink(both).where(F.col("v") > F.col("u"))
+    moved = _relink(both, spent).where(F.col("v") > F.col("u"))
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, spent: list[DataFrame]) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    moved = _relink(down)
+    moved = _relink(down, spent)
     return (
         moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
         .unionAll(moved.select("u", F.col("m").alias("v")))
@@ -47,7 +48,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        now = written(_small_star(_large_star(now)))
+        spent = [now]
+        now = written(_small_star(_large_star(now, spent), spent))
+        discard(*spent)
         last, seen = seen, mark(now)
         if seen == last:
             break
