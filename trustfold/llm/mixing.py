@@ -9,19 +9,20 @@ Target marginals may be given; else they are tempered: the share of a value is p
 token share to the power ``alpha``, as used to lift small sources.
 
 Defined cases: null source, language or topic is a value of its own, a null or empty text has no
-tokens and weight zero: it is kept, as it costs nothing. Repeated rows count as often as they occur, ties do
+tokens and weight zero: it is kept, as it costs nothing. Very long texts are counted whole. Repeated rows count as often as they occur, ties do
 not matter as the draw depends only on doc_id; a null doc_id draws as the string "null". Extra
 columns pass through. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 DIMS = ("mix_source", "mix_lang", "mix_topic")
 
@@ -60,35 +61,32 @@ def tempered(cells: DataFrame, dim: str, alpha: float) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, tolerance: float = 1e-11) -> DataFrame:
     """Add ``weight`` to cells(dims..., tokens): a share of the mix, with the target marginals.
 
-    Each step is an aggregate by one dimension with map-side sums, joined back; Spark chooses a broadcast
-    by the real size of the sums. Every step is written out: it reads its predecessor twice, so a
-    longer lineage would double with each step. It ends when a round changes no weight by more than
-    ``tolerance`` of itself. A value without a target gets none of the mix.
+    Each step scales the cells of a value by its target over the sum of their weights, a window over cells (not documents). A round is
+    written out, and its predecessor deleted. It ends when a round changes no weight by more than ``tolerance`` of
+    itself, and warns if that is not reached. A value without a target gets none of the mix.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     out = cells.withColumns({"weight": F.col("tokens") / F.lit(float(total)), "moved": F.lit(0.0)})
+    for dim, target in targets.items():
+        goal = target.select(F.col(dim).alias("__value"), F.col("target").alias(f"__goal_{dim}"))
+        out = out.join(goal, F.col(dim).eqNullSafe(F.col("__value")), "left").drop("__value")
+    out = written(out)
+    moved = 0.0
     for _ in range(rounds):
-        out = out.withColumn("moved", F.lit(0.0))
-        for dim, target in targets.items():
-            goal = target.select(F.col(dim).alias("goal_value"), "target")
-            factor = (
-                out.groupBy(dim)
-                .agg(F.sum("weight").alias("now"))
-                .join(goal, F.col(dim).eqNullSafe(F.col("goal_value")), "left")
-                .select(
-                    F.col(dim).alias("value"),
-                    F.when(F.col("now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("now")).otherwise(0.0).alias("factor"),
-                )
-            )
-            change = F.when(F.col("weight") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0)
-            out = written(
-                out.join(factor, F.col(dim).eqNullSafe(F.col("value")))
-                .withColumns({"weight": F.col("weight") * F.col("factor"), "moved": F.greatest("moved", change)})
-                .drop("value", "factor")
-            )
-        if (out.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+        before, out = out, out.withColumn("moved", F.lit(0.0))
+        for dim in targets:
+            now = F.sum("weight").over(Window.partitionBy(dim))
+            out = out.withColumn("__factor", F.when(now > 0, F.coalesce(f"__goal_{dim}", F.lit(0.0)) / now).otherwise(0.0))
+            change = F.when(F.col("weight") > 0, F.abs(F.col("__factor") - 1)).otherwise(0.0)
+            out = out.withColumns({"moved": F.greatest("moved", change), "weight": F.col("weight") * F.col("__factor")})
+        out = written(out.drop("__factor"))
+        discard(before)
+        moved = out.agg(F.max("moved")).first()[0] or 0.0
+        if moved <= tolerance:
             break
-    return out.drop("moved")
+    else:
+        warnings.warn(f"the last of {rounds} rounds still moved a weight by {moved:.2g} of itself", stacklevel=2)
+    return out.drop("moved", *[f"__goal_{d}" for d in targets])
 
 
 def mix(
