@@ -44,10 +44,12 @@ def classification(actual: Column, score: Column, cut: float = 0.5) -> dict[str,
 
 
 def auc(data: DataFrame, actual: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """Mann-Whitney area with half counts for ties, from counts by distinct score. One class only gives 0.5."""
+    """Mann-Whitney area with half counts for ties, from counts by distinct score. One class only gives 0.5, and other classes than 0 and 1 give null."""
     by = by or []
-    ok = data.where(F.col(actual).isin(0, 1) & F.col(score).isNotNull())
-    per = ok.groupBy(*by, score).agg(F.count_if(F.col(actual) == 1).alias("p"), F.count_if(F.col(actual) == 0).alias("q"))
+    ok = data.where(F.col(actual).isNotNull() & F.col(score).isNotNull())
+    per = ok.groupBy(*by, score).agg(
+        F.count_if(F.col(actual) == 1).alias("p"), F.count_if(F.col(actual) == 0).alias("q"), F.count_if(~F.col(actual).isin(0, 1)).alias("x")
+    )
     ranked = global_position(per, *by, score)
     # Negatives below each score: running sums within range partitions, and the partitions before them.
     part = F.floor((F.col("pos") - 1) / 100_000)
@@ -60,7 +62,7 @@ def auc(data: DataFrame, actual: str, score: str, by: list[str] | None = None) -
     below = blocks.withColumn("here", F.coalesce(F.sum("q").over(inner), F.lit(0))).join(F.broadcast(before), [*by, "blk"])
     u = F.sum(F.col("p") * (F.col("prior") + F.col("here") + F.col("q") / 2))
     n1, n0 = F.sum("p"), F.sum("q")
-    return below.groupBy(*by).agg(F.when((n1 > 0) & (n0 > 0), u / (n1 * n0)).otherwise(0.5).alias("auc"))
+    return below.groupBy(*by).agg(F.when(F.sum("x") == 0, F.when((n1 > 0) & (n0 > 0), u / (n1 * n0)).otherwise(0.5)).alias("auc"))
 
 
 def willmott(data: DataFrame, actual: str, predicted: str, c: float = 2.0) -> DataFrame:

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.common import global_position, written
+from ..functions.common import global_position, hash_order, written
 from ..functions.stats import ks_p_value
 
-#: Training rows that are broadcast for nearest-neighbour distances; beyond it they are taken in blocks, one pass over the new rows each.
+#: Training rows that are broadcast at once where all pairs are asked for.
 BLOCK_ROWS = 5000
+#: Cells that training rows are put in for nearest-neighbour distances, at most; else about the root of their number.
+CELLS = 2048
 
 
 def standardised(train: DataFrame, rows: DataFrame, predictors: list[str], weights: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
@@ -37,42 +39,79 @@ def _blocks(rows: DataFrame) -> tuple[DataFrame, int]:
 def nearest(new: DataFrame, train: DataFrame, use: list[str], folds: bool = False, count_within: float | None = None) -> DataFrame:
     """row_id, d (least distance to a training row with another id; with ``folds``, of another fold) and, if asked, n within a distance.
 
-    A stated training set against all rows, in blocks of BLOCK_ROWS broadcast training rows.
+    Exact, by cells: some training rows (in hashed order) are centres, and every row belongs to its nearest centre. The centres
+    themselves and the cell of a new row bound its distance, and by the triangle inequality only cells whose radius reaches into the bound are
+    visited, by equi-joins on the cell.
     """
-    kept, blocks = _blocks(train)
-    out = None
+    spark = train.sparkSession
     extra = ["fold"] if folds else []
-    for b in range(blocks):
-        side = kept.where(F.floor((F.col("__pos") - 1) / BLOCK_ROWS) == b).select(F.col("row_id").alias("__j"), *[F.col(f).alias(f"__{f}") for f in extra], *[F.col(p).alias(f"__{p}") for p in use])
-        allowed = F.col("fold") != F.col("__fold") if folds else F.col("row_id") != F.col("__j")
-        d = _distance([F.col(p) for p in use], [F.col(f"__{p}") for p in use])
-        aggs = [F.min("__d").alias("d")] + ([F.count_if(F.col("__d") <= count_within).alias("n")] if count_within is not None else [])
-        got = new.join(F.broadcast(side), allowed).withColumn("__d", d).groupBy("row_id").agg(*aggs)
-        out = got if out is None else out.unionByName(got)
-    final = [F.min("d").alias("d")] + ([F.sum("n").alias("n")] if count_within is not None else [])
-    return out.groupBy("row_id").agg(*final) if blocks > 1 else out
+    kept = written(train.select("row_id", *extra, *use))
+    n = kept.count()
+    if not n:
+        return new.where("false").select("row_id", F.lit(0.0).alias("d"), *([F.lit(0).cast("long").alias("n")] if count_within is not None else []))
+    centres = kept.orderBy(hash_order("row_id"), "row_id").limit(max(1, min(CELLS, math.isqrt(n)))).collect()
+    kinds = dict(kept.dtypes)
+    schema = f"__at array<array<double>>, __id array<{kinds['row_id']}>" + (f", __of array<{kinds['fold']}>" if folds else "")
+    one = F.broadcast(spark.createDataFrame([([[float(r[p]) for p in use] for r in centres], [r.row_id for r in centres], *([[r.fold for r in centres]] if folds else []))], schema))
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """Rows with their distances to the centres."""
+        return rows.join(one).withColumn("__away", F.transform("__at", lambda c: _distance([F.col(p) for p in use], [c[i] for i in range(len(use))])))
+
+    home = (F.array_position("__away", F.array_min("__away")) - 1).cast("int")
+    cells = written(apart(kept).select(F.col("row_id").alias("__j"), *[F.col(c).alias(f"__{c}") for c in [*extra, *use]], home.alias("cell"), F.array_min("__away").alias("__r")))
+    reach = {r.cell: r.r for r in cells.groupBy("cell").agg(F.max("__r").alias("r")).collect()}  # a row a cell
+    # A little more than the radius, as distances are rounded.
+    radius = F.array(*[F.lit(reach[k] * (1 + 1e-9) + 1e-12 if k in reach else -math.inf) for k in range(len(centres))]) if len(centres) <= 64 else F.col("__radius")
+    if len(centres) > 64:
+        radii = F.broadcast(spark.createDataFrame([([reach[k] * (1 + 1e-9) + 1e-12 if k in reach else -math.inf for k in range(len(centres))],)], "__radius array<double>"))
+    own = ["row_id", *extra, *use]
+    free = F.zip_with("__away", "__of", lambda d, f: F.when(f != F.col("fold"), d)) if folds else F.zip_with("__away", "__id", lambda d, i: F.when(i != F.col("row_id"), d))
+    asked = apart(new.select(*own)).select(*own, home.alias("cell"), F.array_min(free).alias("__bound"))
+    allowed = F.col("fold") != F.col("__fold") if folds else F.col("row_id") != F.col("__j")
+    d = F.when(allowed, _distance([F.col(p) for p in use], [F.col(f"__{p}") for p in use]))
+    within = [F.count_if(F.col("__d") <= count_within).alias("n")] if count_within is not None else []
+    side = cells.drop("__r")
+    found = asked.join(side, "cell").withColumn("__d", d).groupBy("row_id").agg(F.min("__d").alias("d"), F.first("cell").alias("__home"), F.min("__bound").alias("__bound"), *within)
+    found = written(found)
+    far = apart(new.select(*own).join(found.select("row_id", "__home", F.least("d", "__bound").alias("__bound")), "row_id"))
+    if len(centres) > 64:
+        far = far.join(radii)
+    most = F.greatest(F.coalesce("__bound", F.lit(math.inf)), F.lit(float(count_within))) if count_within is not None else F.coalesce("__bound", F.lit(math.inf))
+    near = F.filter(F.sequence(F.lit(0), F.lit(len(centres) - 1)), lambda k: (k != F.col("__home")) & (F.get("__away", k) - F.get(radius, k) <= most))
+    visits = far.select(*own, F.explode(near).alias("cell"))
+    more = visits.join(side, "cell").withColumn("__d", d).groupBy("row_id").agg(F.min("__d").alias("d"), *within)
+    both = found.select("row_id", F.col("d"), *(["n"] if within else [])).unionByName(more)
+    total = [F.sum("n").alias("n")] if within else []
+    return both.groupBy("row_id").agg(F.min("d").alias("d"), *total).where("d is not null")
 
 
 def mean_distance(scaled: DataFrame, use: list[str]) -> float:
-    """Mean distance of all pairs of different training rows, in blocks."""
+    """Mean distance of all pairs of different training rows: each pair once, with one side in broadcast blocks and the other spread over all tasks."""
     kept, blocks = _blocks(scaled)
+    tasks = max(1, int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = written(kept.repartition(tasks))
     total = n = 0
     for b in range(blocks):
-        side = kept.where(F.floor((F.col("__pos") - 1) / BLOCK_ROWS) == b).select(F.col("row_id").alias("__j"), *[F.col(p).alias(f"__{p}") for p in use])
-        r = kept.join(F.broadcast(side), F.col("row_id") != F.col("__j")).agg(F.sum(_distance([F.col(p) for p in use], [F.col(f"__{p}") for p in use])), F.count("*")).first()
+        side = kept.where(F.floor((F.col("__pos") - 1) / BLOCK_ROWS) == b).select(F.col("__pos").alias("__j"), *[F.col(p).alias(f"__{p}") for p in use])
+        r = rows.where(F.col("__pos") > b * BLOCK_ROWS).join(F.broadcast(side), F.col("__pos") > F.col("__j")).agg(F.sum(_distance([F.col(p) for p in use], [F.col(f"__{p}") for p in use])), F.count("*")).first()
         total, n = total + (r[0] or 0.0), n + r[1]
     return total / n if n else 0.0
 
 
-def dissimilarity(train: DataFrame, new: DataFrame | None, predictors: list[str], weights: dict[str, float] | None = None, folds: DataFrame | None = None) -> DataFrame:
+def _scaled_train(train: DataFrame, predictors: list[str], weights: dict[str, float] | None) -> tuple[DataFrame, list[str], float]:
+    scaled, use = standardised(train, train, predictors, weights)
+    scaled = written(scaled.dropna())
+    return scaled, use, mean_distance(scaled, use)
+
+
+def dissimilarity(train: DataFrame, new: DataFrame | None, predictors: list[str], weights: dict[str, float] | None = None, folds: DataFrame | None = None, _ready: tuple | None = None) -> DataFrame:
     """row_id, di: the least distance to the training rows over their mean distance.
 
     Without ``new`` training rows are judged: each against the others, or with folds (row_id, fold) against those of other folds. Ids of new
     rows that equal a training row's are that row.
     """
-    scaled, use = standardised(train, train, predictors, weights)
-    scaled = scaled.dropna()
-    norm = mean_distance(scaled, use)
+    scaled, use, norm = _ready or _scaled_train(train, predictors, weights)
     if new is None and folds is not None:
         of = scaled.join(folds.select("row_id", "fold"), "row_id")
         got = nearest(of, of, use, folds=True)
@@ -90,11 +129,9 @@ def di_threshold(di: DataFrame) -> DataFrame:
 
 def area_of_applicability(train: DataFrame, new: DataFrame, predictors: list[str], weights: dict[str, float] | None = None, folds: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
     """row_id, di, lpd (training rows nearer than the threshold), aoa. The threshold comes from the training rows' own indices."""
+    scaled, use, norm = ready = _scaled_train(train, predictors, weights)
     if threshold is None:
-        threshold = di_threshold(dissimilarity(train, None, predictors, weights, folds)).first()[0]
-    scaled, use = standardised(train, train, predictors, weights)
-    scaled = scaled.dropna()
-    norm = mean_distance(scaled, use)
+        threshold = di_threshold(dissimilarity(train, None, predictors, weights, folds, ready)).first()[0]
     rows = standardised(train, new, predictors, weights)[0].dropna()
     got = nearest(rows, scaled, use, count_within=threshold * norm)
     di = F.col("d") / F.lit(norm)

@@ -36,7 +36,9 @@ def pairs(sample: DataFrame, geographic: bool = False) -> DataFrame:
     """Ordered pairs (i, j, d[, vi, vj]) of a bounded sample; one side is broadcast, PAIR_ROWS rows at most."""
     side = lambda s: sample.select(*[F.col(c).alias(f"{c}_{s}") for c in sample.columns])
     d = (haversine if geographic else planar)(F.col("x_i"), F.col("y_i"), F.col("x_j"), F.col("y_j"))
-    return side("i").join(F.broadcast(side("j")), F.col("row_id_i") != F.col("row_id_j")).withColumn("d", d)
+    # The sample is one partition; its pairs are made in all tasks.
+    tasks = max(1, int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return side("i").repartition(tasks).join(F.broadcast(side("j")), F.col("row_id_i") != F.col("row_id_j")).withColumn("d", d)
 
 
 def moran(points: DataFrame, geographic: bool = False) -> DataFrame:

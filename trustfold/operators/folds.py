@@ -8,7 +8,7 @@ partitioning. Rows with a null in a column that a strategy reads are dealt to fo
 
 from __future__ import annotations
 
-import heapq
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -74,20 +74,49 @@ def hexagonal(data: DataFrame, x: str, y: str, v: int = 5, size: float | None =
     return _join_small(celled, cells, ["__row", "__col"]).drop("__row", "__col")
 
 
+def dealing_plan(sizes: list[tuple[int, int]], v: int) -> list[tuple[int, int, int, list[int]]]:
+    """How groups of (size, number of groups), the largest first, go one by one to the fold with the fewest rows (then the least number).
+
+    Returns runs (size, from, to, folds): the groups of a size that are numbered from ``from`` (0 first) to below ``to`` go
+    round these folds. Groups of one size take turns in folds that are near in size, so a size needs a few runs, however many groups it has.
+    """
+    load, out = [(0, k) for k in range(1, v + 1)], []
+    for size, count in sizes:
+        done = 0
+        while done < count:
+            load.sort()
+            first = (load[0][0] + size, load[0][1])
+            t = sum(x < first for x in load)
+            turns = -(-(count - done) // t)
+            if t < v:  # until the next fold's turn comes
+                a, k = load[t - 1]
+                gap, other = load[t][0] - a, load[t][1]
+                turns = min(turns, max(1, gap // size + (1 if gap % size or k < other else 0)))
+            n = min(count - done, turns * t)
+            out.append((size, done, done + n, [k for _, k in load[:t]]))
+            load[:t] = [(a + size * (n // t + (i < n % t)), k) for i, (a, k) in enumerate(load[:t])]
+            done += n
+    return out
+
+
 def group_folds(data: DataFrame, group: str, v: int = 5) -> DataFrame:
     """Whole groups, the largest first, each to the fold with the fewest rows. Fewer groups than folds reduce v.
 
-    Ties in size go by the groups' least row_id. Group sizes are read to the driver as a stream, in order.
+    Ties in size go by the groups' least row_id. Groups stay in Spark: the driver sees how many groups there are of each size, and
+    tells in a few runs a size which folds take turns.
     """
-    sizes = data.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.min("row_id").alias("first"))
+    sizes = written(data.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.min("row_id").alias("first")))
     v = min(v, sizes.count()) or 1
-    heap, out = [(0, k) for k in range(1, v + 1)], []
-    for r in sizes.orderBy(F.col("n").desc(), "first").toLocalIterator():
-        n, k = heapq.heappop(heap)
-        out.append((r[0], k))
-        heapq.heappush(heap, (n + r.n, k))
-    schema = f"`{group}` {dict(data.dtypes)[group]}, fold int"
-    return _join_small(data, data.sparkSession.createDataFrame(out, schema), [group])
+    counts = [(r.n, r.c) for r in sizes.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.col("n").desc()).collect()]
+    before = dict(zip((n for n, _ in counts), itertools.accumulate((c for _, c in counts), initial=0)))
+    runs = [(n, before[n] + a, before[n] + b, order) for n, a, b, order in dealing_plan(counts, v)]
+    plan = data.sparkSession.createDataFrame(runs, "n bigint, a bigint, b bigint, turns array<int>")
+    placed = global_position(sizes, F.col("n").desc(), "first")
+    here = (F.col("p.pos") - 1 >= F.col("r.a")) & (F.col("p.pos") - 1 < F.col("r.b"))
+    side = F.broadcast(plan) if len(runs) <= BROADCAST_GROUPS else plan
+    dealt = placed.alias("p").join(side.alias("r"), (F.col("p.n") == F.col("r.n")) & here)
+    fold = F.get("r.turns", ((F.col("p.pos") - 1 - F.col("r.a")) % F.size("r.turns")).cast("int"))
+    return _join_small(data, written(dealt.select(F.col(f"p.{group}").alias(group), fold.alias("fold"))), [group])
 
 
 def leave_location_out(data: DataFrame, x: str, y: str, v: int = 5, digits: int = 8, seed: int = 42) -> DataFrame:

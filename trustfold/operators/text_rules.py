@@ -27,6 +27,19 @@ RULES = [
     ("no_test_mentioned", None, True, r"model\s+(?:was|were)\s+(?:fitted|trained|built)\s+(?:on|using)\s+(?:the|all)\s+(?:data|available)", r"cross|validation|test|holdout|split", "medium"),
 ]
 
+#: Words of which a text must hold one for the rule's pattern to match; a cheap look before the pattern is tried.
+NEEDED = {
+    "random_cv_spatial": [["random", "stratified"], ["fold", "cross"]],
+    "random_cv_temporal": [["random", "stratified"], ["fold", "cross"]],
+    "preprocess_before_split": [["before", "prior to", "then"], ["normali", "standardi", "pca", "principal component", "feature select", "variable select"]],
+    "global_preprocessing": [["data", "sample"], ["normali", "standardi", "scaled", "transformed", "reduced"]],
+    "feature_selection_before_cv": [["selection", "screening", "importance", "ranking"], ["before", "prior", "outside", "separately"]],
+    "no_spatial_blocking": [["validation"], ["fold"]],
+    "no_embargo": [["temporal"]],
+    "single_holdout": [["split"], ["train", "hold"]],
+    "no_test_mentioned": [["model"], ["fitted", "trained", "built"]],
+}
+
 ADVICE = {
     "random_cv_spatial": "Use spatial blocks, buffered leave-one-out or distance-matched folds.",
     "random_cv_temporal": "Use blocks of time with an embargo, or expanding or sliding windows.",
@@ -59,9 +72,12 @@ def check_texts(texts: DataFrame, key: str, text: str = "text", context: str | N
         if only_strict and not strict:
             continue
         found = F.regexp_extract("__low", f"({pattern})", 1)
-        trips = found != ""
+        # The cheap conditions first: what follows is tried only where they hold.
+        any_of = lambda words: reduce(Column.__or__, [F.contains(F.col("__low"), F.lit(w)) for w in words])
+        trips = reduce(Column.__and__, [any_of(words) for words in NEEDED[name]])
         if where:
-            trips = trips & (F.col("context") == where)
+            trips = (F.col("context") == where) & trips
+        trips = trips & F.col("__low").rlike(pattern)
         if exception:
             trips = trips & ~F.col("__low").rlike(exception)
         hits.append(F.when(trips, F.struct(F.lit(name).alias("pattern"), F.lit(level).alias("severity"), F.substring(found, 1, 80).alias("matched_text"), F.lit(ADVICE[name]).alias("recommendation"))))

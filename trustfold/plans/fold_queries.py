@@ -45,7 +45,10 @@ def folds_hexagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _few(O.hexagonal(points(spark, sf_dir), "x", "y"))
 
 
-@query(None)
+@query("""WITH RECURSIVE g AS (SELECT c_nationkey, row_number() OVER (ORDER BY count(*) DESC, min(c_custkey)) p, count(*) n FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1),
+r AS (SELECT 0::BIGINT p, [0,0,0,0,0]::BIGINT[] l, 0::BIGINT f UNION ALL
+ SELECT r.p+1, list_transform(l, lambda x, i: x + CASE WHEN i = list_position(l, list_min(l)) THEN g.n ELSE 0 END), list_position(l, list_min(l))::BIGINT FROM r JOIN g ON g.p = r.p+1)
+SELECT c_custkey row_id, r.f::INT fold FROM customer JOIN g USING (c_nationkey) JOIN r ON r.p = g.p""")
 def folds_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _few(O.group_folds(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), "c_nationkey"), "c_nationkey"))
 
@@ -154,6 +157,10 @@ def folds_spatial_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _few(O.spatial_plus(points(spark, sf_dir), "x", "y", ["w", "e4"]))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {POINTS}, p AS (SELECT row_id, x, y, row_number() OVER (ORDER BY row_id) i FROM points WHERE x IS NOT NULL AND y IS NOT NULL),
+r AS (SELECT 0::BIGINT i, []::STRUCT(x DOUBLE, y DOUBLE)[] kept, false stays UNION ALL
+ SELECT p.i, CASE WHEN ok THEN list_append(kept, {{'x': p.x, 'y': p.y}}) ELSE kept END, ok
+ FROM (SELECT r.kept, p.*, len(list_filter(r.kept, lambda k: sqrt(pow(k.x-p.x,2)+pow(k.y-p.y,2)) < 0.05)) = 0 ok FROM r JOIN p ON p.i = r.i+1) p)
+SELECT row_id, x, y FROM p JOIN r USING (i) WHERE stays""")
 def thinned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.thinned(points(spark, sf_dir).select("row_id", "x", "y"), 0.05)
