@@ -57,9 +57,48 @@ def test_table_cases(spark):
         [(1, "x " * 200_000 + item.upper(), "a"), (2, None, "a"), (3, "", "a"), (4, "clean words only", "a"), (None, item, "a"), (5, item, "a"), (5, item, "a")],
         "doc_id long, text string, item_id string",
     )
-    bench = spark.createDataFrame([(1, item), (2, item), (3, "short"), (4, None), (None, item)], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "words"), (4, None), (None, item)], "item_id long, text string")
     got = sorted((str(r.doc_id), r.item_id, r.edits) for r in d.best_matches(docs, bench).collect())
     assert got == [("1", 1, 0), ("1", 2, 0), ("5", 1, 0), ("5", 2, 0), ("None", 1, 0), ("None", 2, 0)]
     assert sorted(r.doc_id for r in d.clean(docs, bench).collect()) == [2, 3, 4]
     assert d.clean(docs, bench.where("false")).count() == 7
     assert d.best_matches(docs.where("false"), bench).count() == 0
+
+
+def test_items_of_all_lengths_match_brute_force(spark):
+    """A very long item beside short ones; short items stand unchanged between word bounds; blocks change nothing."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [prose(700), prose(40), "who was it then", "one two", prose(15)]
+    docs = [(i, prose(8) + " " + edited(rng, items[i % 2], 5) + " " + prose(5)) for i in range(4)]
+    docs += [(10, "He asked: who WAS\n it then and went"), (11, "who was it thence"), (12, "awho was it then"), (13, "who was it then"), (14, "one two three"), (15, "who was it them who was it then")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(i, k): semi_global(d.normal(items[k]), d.normal(t))[0] for i, t in docs[:4] for k in (0, 1)}
+    want = {k: e for k, e in want.items() if e <= len(d.normal(items[k[1]])) // 10} | {(i, 2): 0 for i in (10, 13, 15)}
+    for chars in (d.BLOCK_CHARS, 300):
+        got = {(r.doc_id, r.item_id): r.edits for r in d.contaminated(df, bench, block_chars=chars).collect()}
+        assert got == want and len(want) == 7
+    sizes = d.Matcher([d.normal(t) for t in items], 0.1, 32)
+    assert len(sizes.masks) < 1.5 * (len(sizes.length) + sum(sizes.length) / 64) * len(set("".join(items))) + 64 * len(items)
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    from trustfold.llm import queries
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [prose(12) for _ in range(5)]
+    docs = [(i, prose(20) + " " + (edited(rng, items[i % 5], rng.randrange(9)) if i % 3 else "") + " " + prose(4)) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = set()
+    for i, t in docs:
+        for k, item in enumerate(items):
+            e, end = semi_global(d.normal(item), d.normal(t))
+            if e <= len(d.normal(item)) // 10:
+                want.add((i, k, e, end))
+    got = {(r.doc_id, r.item_id, r.edits, r.end) for r in queries.op6_decontamination(spark, str(tmp_path)).collect()}
+    assert got == want and len(want) > 8

@@ -6,10 +6,14 @@ occurrence holds unchanged: an Aho-Corasick automaton finds all pieces in a text
 diagonals share a window, windows that lack too many of the item's letter triples for its budget are passed over, and Myers' bit-parallel distance decides, for many windows at once.
 
 Items reach the executors in blocks of bounded size, one pass over the texts a block, however large the
-benchmark is. Texts are read whole.
+benchmark is; a block's matches are written before the next one is sent, so that one block is in memory at a time. An item's bit
+masks take room by its own length. Texts are read whole.
 
-Defined cases: null or empty texts match nothing; null items, items without an id, and items shorter than ``min_chars``
-after normalisation match nothing, as their pieces would be found anywhere; equal items are reported each under
+Items shorter than ``min_chars`` after normalisation are found where they stand unchanged between word bounds, if they have
+``min_words`` words; with fewer words they say nothing and match nothing.
+
+Defined cases: null or empty texts match nothing; null and empty items and items without an id match nothing; very long items are
+matched whole, an item longer than a block is a block of its own; equal items are reported each under
 its own id, a repeated item id by its best match; repeated documents are each reported. An
 empty table on either side gives no matches. Other columns are ignored.
 """
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import text_slices, written
 
 #: Characters of items in a block.
 BLOCK_CHARS = 4_000_000
@@ -53,10 +57,11 @@ def _triples(code: np.ndarray) -> np.ndarray:
 class Matcher:
     """A block of normalised items, ready for matching."""
 
-    def __init__(self, items: list[str], rate: float) -> None:
+    def __init__(self, items: list[str], rate: float, min_chars: int = 0) -> None:
         self.length = np.array([len(t) for t in items], np.int64)
-        self.budget = (rate * self.length + 1e-9).astype(np.int64)
-        self.words = int((self.length.max() + 63) // 64)
+        self.exact = self.length < min_chars
+        self.budget = np.where(self.exact, 0, (rate * self.length + 1e-9).astype(np.int64))
+        self.words = (self.length + 63) // 64
         where = defaultdict(list)
         for i, t in enumerate(items):
             for a, b in pieces(len(t), int(self.budget[i])):
@@ -68,13 +73,16 @@ class Matcher:
         letters = sorted(set("".join(items)))
         self.number = np.zeros(0x110000, np.uint16)
         self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        self.masks = np.zeros((len(items), len(letters) + 1, self.words), np.uint64)
+        # Masks of item i: a row of its own words for each letter, from ``start[i]`` on.
+        size = self.words * (len(letters) + 1)
+        self.start = np.cumsum(size) - size
+        self.masks = np.zeros(int(size.sum()), np.uint64)
         for i, t in enumerate(items):
             at = np.arange(len(t))
-            code = self.number[np.frombuffer(t.encode("utf-32-le"), np.uint32)]
-            np.bitwise_or.at(self.masks[i], (code, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+            code = self.number[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+            np.bitwise_or.at(self.masks, self.start[i] + code * self.words[i] + at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
 
-        self.triples = [_triples(self.number[np.frombuffer(t.encode("utf-32-le"), np.uint32)]) for t in items]
+        self.triples = [_triples(self.number[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)]) for t in items]
 
     def plausible(self, item: int, triples: np.ndarray) -> bool:
         """An edit breaks three of an item's letter triples at most; the others must be in the window."""
@@ -88,7 +96,8 @@ class Matcher:
         diagonals = defaultdict(set)
         for end, (size, places) in self.automaton.iter(text):
             for i, a in places:
-                diagonals[i].add(end + 1 - size - a)
+                if not self.exact[i]:
+                    diagonals[i].add(end + 1 - size - a)
         out = []
         for i, found in diagonals.items():
             k, m, first, last = int(self.budget[i]), int(self.length[i]), None, None
@@ -102,23 +111,34 @@ class Matcher:
             out.append((i, first - k, last + m + k))
         return [(i, max(0, a), min(len(text), b)) for i, a, b in out]
 
+    def whole(self, text: str) -> dict[int, int]:
+        """Items that match exactly, between word bounds: item to the first end."""
+        out = {}
+        if self.exact.any():
+            for end, (size, places) in self.automaton.iter(text):
+                for i, _ in places:
+                    if self.exact[i] and i not in out and text[end + 1 : end + 2] in ("", " ") and text[max(0, end - size) : end + 1 - size] in ("", " "):
+                        out[i] = end + 1
+        return out
+
     def distances(self, item: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least distance of each item to any substring of its row of letters, and where that ends.
 
         Myers' algorithm over 64-bit words, one text column at a time for all rows. Letter 0 matches nothing.
         """
-        words = int((self.length[item].max() + 63) // 64)
-        n, last, one = len(item), (self.length[item] - 1) // 64, np.uint64(1)
+        own, words = self.words[item], int(self.words[item].max())
+        n, last, one = len(item), own - 1, np.uint64(1)
         top = np.full((n, words), 63, np.uint64)
         top[np.arange(n), last] = ((self.length[item] - 1) % 64).astype(np.uint64)
         plus, minus = np.full((n, words), ~np.uint64(0)), np.zeros((n, words), np.uint64)
         score = self.length[item].copy()
         best, at = score.copy(), np.zeros(n, np.int64)
         for c in range(columns.shape[1]):
-            equal_all = self.masks[item, columns[:, c]]
+            row = self.start[item] + columns[:, c].astype(np.int64) * own
             up, down = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             for w in range(words):
-                pv, mv, eq = plus[:, w], minus[:, w], equal_all[:, w]
+                pv, mv = plus[:, w], minus[:, w]
+                eq = np.where(w < own, self.masks[row + np.minimum(w, last)], np.uint64(0))
                 xv = eq | mv
                 eq = eq | down
                 xh = (((eq & pv) + pv) ^ pv) | eq
@@ -155,6 +175,8 @@ class Matcher:
         for number, raw in enumerate(texts):
             text = normal(raw)
             places = self.windows(text) if text else []
+            for i, end in (self.whole(text) if text else {}).items():
+                found[number, i] = (0, end)
             if places:
                 code = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
                 triples = _triples(code)
@@ -169,14 +191,14 @@ class Matcher:
 
 
 @lru_cache(maxsize=1)
-def _matcher(items: tuple[str, ...], rate: float) -> Matcher:
-    return Matcher(list(items), rate)
+def _matcher(items: tuple[str, ...], rate: float, min_chars: int) -> Matcher:
+    return Matcher(list(items), rate, min_chars)
 
 
-def _search(block, rate: float):
+def _search(block, rate: float, min_chars: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, items = block.value
-        matcher = _matcher(items, rate)
+        matcher = _matcher(items, rate, min_chars)
         for batch in batches:
             found = {}
             for at, part in text_slices(batch.column("text")):
@@ -196,7 +218,7 @@ def _search(block, rate: float):
     return of
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = 32) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = 32, min_words: int = 4, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs(doc_id, text) against benchmark(item_id, text): doc_id, item_id, edits, end (in the normalised text), item_chars.
 
     One row per document row and item found in it.
@@ -204,15 +226,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_c
     spark = docs.sparkSession
     usable = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     size = usable.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_CHARS))
+    blocks = max(1, -(-size // block_chars))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id bigint, edits int, end bigint, item_chars int"
     out = None
     for b in range(blocks):
         rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        rows = sorted({(r.item_id, t) for r in rows for t in [normal(r.text)] if len(t) >= min_chars})
+        rows = sorted({(r.item_id, t) for r in rows for t in [normal(r.text)] if len(t) >= min_chars or t.count(" ") + 1 >= min_words})
         if rows:
             block = spark.sparkContext.broadcast(([i for i, _ in rows], tuple(t for _, t in rows)))
-            found = docs.where("text is not null").select("doc_id", "text").mapInArrow(_search(block, rate), schema)
+            found = docs.where("text is not null").select("doc_id", "text").mapInArrow(_search(block, rate, min_chars), schema)
+            if blocks > 1:
+                found = written(found)
+                block.unpersist()
             out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], schema)
