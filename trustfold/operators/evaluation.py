@@ -165,6 +165,22 @@ def conformal(residuals: DataFrame, new: DataFrame, alpha: float = 0.1, residual
     return new.withColumns({"lower": F.col(prediction) - q, "upper": F.col(prediction) + q})
 
 
+def calibration_residuals(data: DataFrame, blocks: DataFrame, fitter, target: str, method: str = "block_cv") -> DataFrame:
+    """row_id and residual for :func:`conformal`, from blocks(row_id, fold) that are kept whole.
+
+    block_cv, block_jackknife: every row by the model that did not see its block (folds of the user, or one fold a block). split: one
+    model of the blocks with odd numbers, rows of the others.
+    """
+    if method not in ("block_cv", "block_jackknife", "split"):
+        raise ValueError(f"unknown method {method!r}")
+    if method == "split":
+        rows = data.join(blocks.select("row_id", "fold"), "row_id")
+        held = fitter(rows.where(F.col("fold") % 2 == 1))(rows.where(F.col("fold") % 2 == 0))
+    else:
+        held = held_out(data, blocks, fitter)
+    return held.select("row_id", (F.col(target) - F.col("prediction")).alias("residual"))
+
+
 def conformal_width(residuals: DataFrame, alpha: float = 0.1, residual: str = "residual") -> DataFrame:
     """One row: n, level and half width q."""
     n = residuals.where(F.col(residual).isNotNull()).count()
@@ -219,6 +235,29 @@ def group_metrics(predictions: DataFrame, target: str, group: str) -> DataFrame:
     return by.join(F.broadcast(by.agg((F.max("rmse") / F.min("rmse")).alias("disparity"))))
 
 
+def fairness(data: DataFrame, random_folds: DataFrame, blocked_folds: DataFrame, fitter, target: str, group: str, metric: str = "rmse") -> DataFrame:
+    """group, n, metric_random, metric_blocked and their difference as disparity: how much worse a group fares when its neighbours are held out."""
+
+    def scores(folds: DataFrame, name: str) -> DataFrame:
+        return held_out(data, folds, fitter).groupBy(group).agg(F.count("*").alias(f"n_{name}"), M.regression(F.col(target).cast("double"), F.col("prediction"))[metric].alias(f"metric_{name}"))
+
+    both = scores(random_folds, "random").join(scores(blocked_folds, "blocked"), group)
+    return both.select(group, F.col("n_random").alias("n"), "metric_random", "metric_blocked", (F.col("metric_blocked") - F.col("metric_random")).alias("disparity"))
+
+
+def prediction_map(data: DataFrame, repeats: DataFrame, fitter, target: str, x: str = "x", y: str = "y") -> DataFrame:
+    """row_id, place, mean and spread of a row's held-out predictions over repeats(repeat, row_id, fold), their number, and the mean residual."""
+    out = None
+    for (r,) in sorted(repeats.select("repeat").distinct().collect()):
+        got = held_out(data, repeats.where(F.col("repeat") == r), fitter).select("row_id", x, y, F.col(target).alias("actual"), "prediction")
+        out = got if out is None else out.unionByName(got)
+    by = out.groupBy("row_id").agg(
+        F.first(x).alias(x), F.first(y).alias(y), F.avg("prediction").alias("pred_mean"), F.stddev_samp("prediction").alias("pred_sd"),
+        F.count("prediction").cast("int").alias("n_tested"), F.first("actual").alias("actual"),
+    )
+    return by.withColumn("residual_mean", F.col("actual") - F.col("pred_mean"))
+
+
 def ensemble(data: DataFrame, folds: DataFrame, model: Linear, new: DataFrame, by_error: bool = True) -> DataFrame:
     """Mean and spread over the folds' models of each new row's prediction; weights are inverse held-out errors."""
     sums = model.by_fold(data, folds)
@@ -317,7 +356,8 @@ def stability(repeats: Sequence[float]) -> dict:
 def local_moran(points: DataFrame, k: int = 8, permutations: int = 99, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """points(row_id, x, y, v) to row_id, local_i, p and label (high-high, low-low, high-low, low-high, none).
 
-    k nearest neighbours (by distance, then id) through growing grid cells; p from hashed conditional permutations. Bounded to 5000 rows, one side broadcast.
+    k nearest neighbours (by distance, then id) among all pairs, one side broadcast, so it refuses more than 5000 rows; p from conditional
+    permutations seeded by the row id.
     """
     from pyspark.sql.window import Window
 

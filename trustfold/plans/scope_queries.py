@@ -230,3 +230,68 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = evaluation.Linear("structured", ["price", "custd"])
     got = evaluation.marginal_contributions(model, [1.0, 0.5, 2.0], rows.join(made, "row_id"), "fold")
     return got.select("row_id", "feature", F.round("contribution", 4).alias("contribution"))
+
+
+def _linear() -> evaluation.Linear:
+    return evaluation.Linear("structured", ["price"], ridge=0.0)
+
+
+@query(f"""WITH {FOLDED}, h AS (SELECT abs(structured-pa-pb*price) e FROM f JOIN co ON k = fold), o AS (SELECT regr_slope(structured, price) b, regr_intercept(structured, price) a FROM f WHERE fold % 2 = 1),
+s AS (SELECT abs(structured-a-b*price) e FROM f, o WHERE fold % 2 = 0)
+SELECT 'block_cv' AS method, count(*) n, round(list_sort(list(e))[ceil((count(*)+1)*0.9)::BIGINT],4) q FROM h UNION ALL SELECT 'split', count(*), round(list_sort(list(e))[ceil((count(*)+1)*0.9)::BIGINT],4) FROM s""")
+def conformal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half widths of intervals from residuals of blocks that were held out whole, and of half of the blocks."""
+    rows, made = _folded(spark, sf_dir)
+    out = None
+    for method in ("block_cv", "split"):
+        fitter = _linear() if method == "block_cv" else (lambda train: _linear()(train))
+        got = evaluation.conformal_width(evaluation.calibration_residuals(rows, made, fitter, "structured", method)).select(F.lit(method).alias("method"), "n", F.round("q", 4).alias("q"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query(f"""WITH {FOLDED}, kb AS (SELECT DISTINCT (cust % 3)::INT k FROM orders_r), cb AS (SELECT k, regr_slope(structured, price) b, regr_intercept(structured, price) a FROM f, kb WHERE cust % 3 <> k GROUP BY k),
+r AS (SELECT cust % 5 g, count(*) n, sqrt(avg(pow(structured-pa-pb*price,2))) m FROM f JOIN co ON k = fold GROUP BY 1), b AS (SELECT cust % 5 g, sqrt(avg(pow(structured-a-b*price,2))) m FROM f JOIN cb ON k = cust % 3 GROUP BY 1)
+SELECT g "group", n, round(r.m,6) metric_random, round(b.m,6) metric_blocked, round(b.m-r.m,6) disparity FROM r JOIN b USING (g)""")
+def fairness_disparity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, made = _folded(spark, sf_dir)
+    rows = rows.withColumn("group", F.col("cust") % 5)
+    blocked = rows.select("row_id", (F.col("cust") % 3).cast("int").alias("fold"))
+    got = evaluation.fairness(rows, made, blocked, _linear(), "structured", "group")
+    return got.select("group", "n", *[F.round(c, 6).alias(c) for c in ("metric_random", "metric_blocked", "disparity")])
+
+
+@query(f"""WITH {ORDERS}, f AS (SELECT *, 1 rep, (row_id % 4)::INT fold FROM orders_r UNION ALL SELECT *, 2, (row_id % 3)::INT FROM orders_r), k AS (SELECT DISTINCT rep, fold k FROM f),
+co AS (SELECT f.rep, k, regr_slope(structured, price) b, regr_intercept(structured, price) a FROM f JOIN k ON f.rep = k.rep WHERE fold <> k GROUP BY 1, 2),
+h AS (SELECT row_id, structured, a+b*price p FROM f JOIN co ON f.rep = co.rep AND k = fold)
+SELECT row_id, round(avg(p),3) pred_mean, round(stddev_samp(p),3) pred_sd, count(*)::INT n_tested, round(any_value(structured)-avg(p),3) residual_mean FROM h GROUP BY 1""")
+def prediction_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = orders(spark, sf_dir)
+    repeats = rows.select(F.lit(1).alias("repeat"), "row_id", (F.col("row_id") % 4).cast("int").alias("fold")).unionByName(rows.select(F.lit(2).alias("repeat"), "row_id", (F.col("row_id") % 3).cast("int").alias("fold")))
+    got = evaluation.prediction_map(rows, repeats, _linear(), "structured", "price", "cust")
+    return got.select("row_id", *[F.round(c, 3).alias(c) for c in ("pred_mean", "pred_sd")], "n_tested", F.round("residual_mean", 3).alias("residual_mean"))
+
+
+@query(f"""WITH {POINTS}, t AS (SELECT row_id % 4 + 1 fold, * FROM points), c AS (SELECT a.row_id, min(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))) d FROM t a JOIN t b ON a.fold <> b.fold GROUP BY 1),
+g AS (SELECT a.row_id, min(sqrt(pow(a.x+0.1-b.x,2)+pow(a.y-b.y,2))) d FROM t a, t b WHERE a.row_id % 5 = 0 GROUP BY 1), s AS (SELECT a.row_id, min(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))) d FROM t a JOIN t b ON a.row_id <> b.row_id GROUP BY 1)
+SELECT 'cv' kind, count(*) n, round(avg(d),6) mean, round(max(d),6) "max" FROM c UNION ALL SELECT 'target', count(*), round(avg(d),6), round(max(d),6) FROM g UNION ALL SELECT 'sample', count(*), round(avg(d),6), round(max(d),6) FROM s""")
+def distance_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest distances of held-out rows, of places to predict at, and of all rows."""
+    from ..operators.applicability import distance_profiles as profiles
+
+    rows = points(spark, sf_dir).select("row_id", "x", "y")
+    made = rows.select("row_id", (F.col("row_id") % 4 + 1).cast("int").alias("fold"))
+    away = rows.where("row_id % 5 = 0").withColumn("x", F.col("x") + 0.1)
+    got = profiles(rows, made, away, sample=1 << 30)
+    return got.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.max("d"), 6).alias("max"))
+
+
+@query(f"""WITH {POINTS}, r AS (SELECT corr(w,x) a, corr(w,y) b, corr(x,y) c, corr(e4,x) d, corr(e4,y) e FROM points)
+SELECT 'w' predictor, round((a*a+b*b-2*a*b*c)/(1-c*c),6) r2, CASE WHEN (a*a+b*b-2*a*b*c)/(1-c*c) < 0.1 THEN 'low' WHEN (a*a+b*b-2*a*b*c)/(1-c*c) < 0.4 THEN 'moderate' ELSE 'high' END AS grade FROM r
+UNION ALL SELECT 'e4', round((d*d+e*e-2*d*e*c)/(1-c*c),6), CASE WHEN (d*d+e*e-2*d*e*c)/(1-c*c) < 0.1 THEN 'low' WHEN (d*d+e*e-2*d*e*c)/(1-c*c) < 0.4 THEN 'moderate' ELSE 'high' END FROM r""")
+def debias_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of predictors that a linear trend in the coordinates explains."""
+    from ..operators.applicability import debias
+
+    _, told = debias(points(spark, sf_dir), "x", "y", ["w", "e4"], degree=1)
+    return told.select("predictor", F.round("r2", 6).alias("r2"), "grade")
