@@ -74,7 +74,8 @@ def test_one_step_of_descent_matches_plain_gradients():
     x = rng.random((6, 20)).astype(np.float32)
     x /= x.sum(axis=1, keepdims=True)
     y = np.array([0, 1, 2, 0, 1, 2])
-    got = langid.train(x, y, np.zeros(6, bool), ["a", "b"], width=3, epochs=1, rate=2.0, batch=6, calibration=0.0, seed=1)
+    shares = langid.Shares(np.arange(0, 121, 20), np.tile(np.arange(20), 6), x.reshape(-1))
+    got = langid.train(shares, 20, y, np.zeros(6, bool), ["a", "b"], width=3, epochs=1, rate=2.0, batch=6, calibration=0.0, seed=1)
     same = np.random.default_rng(1)
     order = same.permutation(6)
     e = same.uniform(-1, 1, (20, 3)).astype(np.float32) / 3

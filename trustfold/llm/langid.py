@@ -105,8 +105,31 @@ def garbled(text: str, seed: int, fresh: bool) -> str:
     return code.tobytes().decode("utf-32-le", "surrogatepass")
 
 
+@dataclass
+class Shares:
+    """Rows of bucket shares: row i holds ``at`` and ``share`` from first[i] to first[i + 1]."""
+
+    first: np.ndarray
+    at: np.ndarray
+    share: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the row in ``rows``, bucket, share)."""
+        size = self.first[rows + 1] - self.first[rows]
+        owner = np.repeat(np.arange(len(rows)), size)
+        place = np.arange(len(owner)) + np.repeat(self.first[rows] - (np.cumsum(size) - size), size)
+        return owner, self.at[place], self.share[place]
+
+    def mean(self, rows: np.ndarray, e: np.ndarray) -> np.ndarray:
+        owner, at, share = self.take(rows)
+        return np.add.reduceat(e[at] * share[:, None], np.flatnonzero(np.diff(owner, prepend=-1)), axis=0)
+
+
 def train(
-    x: np.ndarray, y: np.ndarray, short: np.ndarray, labels: list[str], width: int = 16, epochs: int = 12, rate: float = 40.0, batch: int = 64, seed: int = 7, calibration: float = 0.25,
+    x: Shares, buckets: int, y: np.ndarray, short: np.ndarray, labels: list[str], width: int = 16, epochs: int = 12, rate: float = 40.0, batch: int = 64, seed: int = 7, calibration: float = 0.25,
     false_reject: float = 0.001, margin: float = 1.5,
 ) -> LanguageModel:
     """x: rows of bucket shares; y: label numbers, len(labels) for noise; short: of short texts. SGD on softmax(mean embedding @ weights + bias)."""
@@ -115,7 +138,7 @@ def train(
     held = rng.permutation(n)
     cut = max(1, int(n * (1 - calibration)))
     fit, cal = held[:cut], held[cut:] if cut < n else held
-    e = rng.uniform(-1, 1, (x.shape[1], width)).astype(np.float32) / width
+    e = rng.uniform(-1, 1, (buckets, width)).astype(np.float32) / width
     w, b = rng.normal(0, 0.1, (width, k)).astype(np.float32), np.zeros(k, np.float32)
     target = np.eye(k, dtype=np.float32)[y]
     for epoch in range(epochs):
@@ -123,13 +146,15 @@ def train(
         rng.shuffle(fit)
         for at in range(0, len(fit), batch):
             i = fit[at : at + batch]
-            h = x[i] @ e
+            h = x.mean(i, e)
             g = (_softmax(h @ w + b) - target[i]) / len(i)
-            ge = x[i].T @ (g @ w.T)
+            owner, at_bucket, share = x.take(i)
+            pull = (g @ w.T)[owner] * share[:, None]
+            ge = np.stack([np.bincount(at_bucket, pull[:, d], buckets) for d in range(width)], axis=1)
             w -= step * 0.1 * (h.T @ g)
             b -= step * 0.01 * g.sum(axis=0)
-            e -= step * ge
-    z = (x[cal] @ (e @ w) + b).astype(np.float64)
+            e -= (step * ge).astype(np.float32)
+    z = (x.mean(cal, e @ w) + b).astype(np.float64)
     right = y[cal]
     loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(right)), right], 1e-12)).mean()
     temperature = min(np.geomspace(0.1, 10, 61).tolist(), key=loss)
@@ -176,15 +201,18 @@ def fit(docs: DataFrame, sample_rows: int = 2048, seed: int = 7) -> LanguageMode
     picked = usable.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", F.xxhash64("text").alias("h"), "text")
     counts = picked.mapInPandas(counted, f"doc_id {dict(picked.dtypes)['doc_id']}, lang string, h bigint, at array<int>, n array<int>")
     # Ids may repeat; the limit holds for rows.
-    rows = counts.orderBy("doc_id", "h", "lang", F.hash("at", "n")).limit(3 * sample_rows).collect()
-    if not rows:
+    rows = counts.orderBy("doc_id", "h", "lang", F.hash("at", "n")).limit(3 * sample_rows).select("lang", "at", "n").toArrow().combine_chunks()
+    if not rows.num_rows:
         return None
-    x = np.zeros((len(rows), 1 << BUCKET_BITS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["at"]] = np.array(r["n"], np.float32) / sum(r["n"])
-    labels = sorted({r["lang"] for r in rows if r["lang"] is not None})
-    y = np.array([labels.index(r["lang"]) if r["lang"] is not None else len(labels) for r in rows])
-    return train(x, y, np.array([sum(r["n"]) <= SHORT_BYTES for r in rows]), labels, seed=seed)  # a text has a gram a byte and one more
+    langs = rows.column("lang").to_pylist()
+    size = np.array(rows.column("at").combine_chunks().value_lengths(), np.int64)
+    at, n = (np.array(rows.column(c).combine_chunks().flatten()) for c in ("at", "n"))
+    first = np.concatenate([[0], np.cumsum(size)])
+    total = np.add.reduceat(n, first[:-1])
+    labels = sorted({v for v in langs if v is not None})
+    y = np.array([labels.index(v) if v is not None else len(labels) for v in langs])
+    # A text has a gram a byte and one more.
+    return train(Shares(first, at, (n / np.repeat(total, size)).astype(np.float32)), 1 << BUCKET_BITS, y, total <= SHORT_BYTES, labels, seed=seed)
 
 
 def predict_udf(model: LanguageModel):
