@@ -12,7 +12,7 @@ batch, except for a bucket of distinct fingerprints that agree on half their bit
 in blocks.
 
 Defined cases: a null text and one without words have fingerprint zero and link like any other;
-fewer words than a shingle hash as the whole sequence; repeated rows are all returned; a null id gets a
+fewer words than a shingle hash as the whole sequence; very long texts are read whole; repeated rows are all returned; a null id gets a
 fingerprint, takes no part in links and has a null component. An empty table gives an empty result.
 Other columns are ignored by :func:`near_duplicates`.
 """
@@ -135,8 +135,7 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarr
 def _links(radius: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, fp) sorted by key; the last bucket of a batch waits for the next batch."""
-        none = np.empty(0, np.uint64)
-        key, fp = none, none
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def emit(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(k):
@@ -145,15 +144,18 @@ def _links(radius: int):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["fa", "fb"])
 
         for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
-            fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+            key, fp = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
             if not len(key):
                 continue
-            changed = np.flatnonzero(key != key[-1])
-            cut = int(changed[-1]) + 1 if len(changed) else 0
+            held.append((key, fp))
+            if key[-1] == held[0][0][-1]:
+                continue  # all of it is the open bucket
+            key, fp = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
             yield from emit(key[:cut], fp[:cut])
-            key, fp = key[cut:], fp[cut:]
-        yield from emit(key, fp)
+            held = [(key[cut:], fp[cut:])]
+        if held:
+            yield from emit(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
 
     return of
 
