@@ -5,7 +5,8 @@ exactly, in any document, the same one included. To spread the suffixes over tas
 sent: of the 100-byte strings in it, the one with the least hash, leftmost. Equal passages have equal anchors at equal
 places, so they meet. Neighbouring passages with one anchor travel together as a segment.
 
-1. Segments are counted by (anchor, content digest) with map-side sums. Equal segments are one from here on.
+1. Segments are counted by (anchor, content digest) with map-side sums. Equal segments are one class from here on: that all of a class with a
+   count above one is repeated is decided by digests (128 bits), not by the arrays below.
 2. Anchors that have several different segments are dealt to tasks, and the suffixes that start passages are put in
    suffix order by prefix doubling. From the previous and next smaller (larger) positions in that order come the longest
    previous (next) factors, and with them the passages that start earlier (later) as well.
@@ -17,7 +18,7 @@ copies. No task holds more than a batch of texts or ``most_segments`` segments.
 
 Defined cases: a null text is empty, and texts shorter than ``length`` have no passages; repeated rows (equal id and text) are copies of
 one another, but share one place, so removal of later copies keeps both; periodic texts repeat within themselves. Very long
-texts are read whole, up to 1 GiB. An empty table gives an empty result. Other columns are ignored.
+texts are read whole; one above 1 GiB is an error. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,6 +74,8 @@ def anchored(data: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tup
     none = (np.empty(0, np.int64),) * 4 + (np.empty(0, _U),)
     if len(data) < length:
         return none
+    if len(data) >> _POSITION_BITS:
+        raise ValueError("a text is longer than 1 GiB")
     hashes = gram_hashes(data, gram)
     at = np.arange(len(hashes), dtype=_U)
     low = _U((1 << _POSITION_BITS) - 1)
