@@ -22,8 +22,9 @@ def rows(seed=1):
 
 def test_round_trip_and_loss(spark):
     data = rows()
-    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("clash"))
-    windows = c.chat_windows(df.select("conv_id", "turn", "role", "text"), budget=300, history=60)
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    df = df.withColumns({n: F.lit("clash") for n in ("window", "formatted", "tokens", "pos", "head")})
+    windows = c.chat_windows(df, budget=300, history=60)
     got = {r.conv_id: r for r in c.chat_digests(windows).collect()}
     for conv in {r[0] for r in data}:
         turns = sorted((r for r in data if r[0] == conv), key=lambda r: (r[1] is None, r[1] or 0))
