@@ -10,7 +10,7 @@ Rejection is calibrated. Of some sampled texts garbled versions (their letters s
 and short stretches of some train their language, as a text may be one word. On a calibration part of the sample a temperature is
 fitted; a document's score is the probability of its best language, the noise among the alternatives, and it is
 rejected if that is below the threshold under which only ``false_reject`` of the right calibration answers fall. Texts of less than
-``SHORT_BYTES`` say less, and have a threshold of their own; both are lowered by ``margin`` in log odds, as the calibration part is small. The model also carries the share of garbled calibration texts above
+``SHORT_BYTES`` say less, and have a threshold of their own; both are lowered by ``margin`` in log odds, as the calibration part is small, and are ``most`` at most. The model also carries the share of garbled calibration texts above
 the thresholds (``false_accept``).
 Texts that are null or have no letter are ``und`` and rejected.
 
@@ -130,7 +130,7 @@ class Shares:
 
 def train(
     x: Shares, buckets: int, y: np.ndarray, short: np.ndarray, labels: list[str], width: int = 16, epochs: int = 12, rate: float = 40.0, batch: int = 64, seed: int = 7, calibration: float = 0.25,
-    false_reject: float = 0.001, margin: float = 1.5,
+    false_reject: float = 0.001, margin: float = 1.5, most: float = 0.9,
 ) -> LanguageModel:
     """x: rows of bucket shares; y: label numbers, len(labels) for noise; short: of short texts. SGD on softmax(mean embedding @ weights + bias)."""
     rng = np.random.default_rng(seed)
@@ -162,7 +162,7 @@ def train(
     good, noise = (p.argmax(axis=1) == right) & (right < k - 1), right == k - 1
     top, few = p.max(axis=1), short[cal]
     low = lambda q: q / (q + (1 - q) * np.exp(margin))
-    at = lambda some: float(low(np.quantile(top[some], false_reject))) if some.any() else 0.0
+    at = lambda some: min(most, float(low(np.quantile(top[some], false_reject)))) if some.any() else 0.0
     limits = at(good & ~few), at(good & few)
     accept = float((top[noise] >= np.where(few[noise], limits[1], limits[0])).mean()) if noise.any() else 0.0
     return LanguageModel(labels, np.ascontiguousarray((e @ w).T, np.float32), b.astype(np.float64), temperature, *limits, accept)
