@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import input_tasks, release, text_slices, written
+from .common import bound_batches, input_tasks, release, text_slices, written
 
 BUDGET = 2
 #: Up to so many ids of lines in pairs (16 MB) are broadcast to fetch their texts; more of them are joined by a shuffle.
@@ -569,6 +569,7 @@ def _without(text: pa.Array, removed: pa.Array) -> pa.Array:
 
 def dedup_lines(docs: DataFrame, budget: int = BUDGET, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """``docs`` with text without its repeated lines, and n_lines and n_removed added."""
+    bound_batches(docs.sparkSession)
     key = F.xxhash64("doc_id", "text")
     gone = removals(docs.select(key.alias("row"), "doc_id", "text"), budget, min_chars, exact_chars).select(F.col("row").alias("__row"), F.col("removed").alias("__removed"))
     joined = docs.withColumn("__key", key).join(gone, F.col("__key") == F.col("__row"), "left")

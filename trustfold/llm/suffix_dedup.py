@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_tasks, written
+from .common import bound_batches, input_tasks, written
 
 LENGTH = 400
 GRAM = 100
@@ -379,6 +379,7 @@ def _cut(length: int):
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_earliest: bool = False, **how) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_bytes, n_removed, spans (byte ranges, end exclusive) and kept (the remaining bytes)."""
+    bound_batches(docs.sparkSession)
     key = F.xxhash64("doc_id", "text")
     marked = docs.select("doc_id", "text", key.alias("row"))
     starts = repeated_starts(marked, length, keep_earliest, **how)
