@@ -3,7 +3,7 @@
 A text is lower-cased (A-Z), its ASCII non-letters become spaces, and all byte 4-grams within it (two
 spaces stand before and after) are hashed to buckets. The mean of the buckets' embeddings goes
 through a linear softmax. Embeddings and weights are trained together by stochastic gradient descent in
-numpy on the driver, on a bounded sample of labelled rows; at prediction time embeddings and weights are
+numpy on the driver, on a bounded sample of labelled rows, however few they are for LEAST_STEPS batches at least; at prediction time embeddings and weights are
 folded into one table of per-bucket class scores, so that memory is small and fixed.
 
 Rejection is calibrated. Of some sampled texts garbled versions (their letters shuffled, or drawn anew) train a class of noise,
@@ -130,9 +130,12 @@ class Shares:
 
 def train(
     x: Shares, buckets: int, y: np.ndarray, short: np.ndarray, labels: list[str], width: int = 16, epochs: int = 12, rate: float = 40.0, batch: int = 64, seed: int = 7, calibration: float = 0.25,
-    false_reject: float = 0.001, margin: float = 1.5, most: float = 0.9,
+    false_reject: float = 0.001, margin: float = 1.5, most: float = 0.9, least_steps: int = 0,
 ) -> LanguageModel:
-    """x: rows of bucket shares; y: label numbers, len(labels) for noise; short: of short texts. SGD on softmax(mean embedding @ weights + bias)."""
+    """x: rows of bucket shares; y: label numbers, len(labels) for noise; short: of short texts. SGD on softmax(mean embedding @ weights + bias).
+
+    There are ``epochs`` passes, or as many as give ``least_steps`` batches.
+    """
     rng = np.random.default_rng(seed)
     n, k = len(y), len(labels) + 1
     held = rng.permutation(n)
@@ -141,6 +144,7 @@ def train(
     e = rng.uniform(-1, 1, (buckets, width)).astype(np.float32) / width
     w, b = rng.normal(0, 0.1, (width, k)).astype(np.float32), np.zeros(k, np.float32)
     target = np.eye(k, dtype=np.float32)[y]
+    epochs = max(epochs, -(-least_steps // -(-len(fit) // batch)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         rng.shuffle(fit)
@@ -168,6 +172,10 @@ def train(
     return LanguageModel(labels, np.ascontiguousarray((e @ w).T, np.float32), b.astype(np.float64), temperature, *limits, accept)
 
 
+#: Steps of descent that a small sample gets too; 12 epochs of the whole sample are about as many.
+LEAST_STEPS = 600
+
+
 def fit(docs: DataFrame, sample_rows: int = 2048, seed: int = 7) -> LanguageModel | None:
     """Train on at most ``sample_rows`` rows of docs(doc_id, text, lang), those with the least hashes.
 
@@ -212,7 +220,7 @@ def fit(docs: DataFrame, sample_rows: int = 2048, seed: int = 7) -> LanguageMode
     labels = sorted({v for v in langs if v is not None})
     y = np.array([labels.index(v) if v is not None else len(labels) for v in langs])
     # A text has a gram a byte and one more.
-    return train(Shares(first, at, (n / np.repeat(total, size)).astype(np.float32)), 1 << BUCKET_BITS, y, total <= SHORT_BYTES, labels, seed=seed)
+    return train(Shares(first, at, (n / np.repeat(total, size)).astype(np.float32)), 1 << BUCKET_BITS, y, total <= SHORT_BYTES, labels, seed=seed, least_steps=LEAST_STEPS)
 
 
 def predict_udf(model: LanguageModel):
