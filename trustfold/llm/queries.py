@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embed_dedup, hpylm, langid, line_dedup, mixing, simhash, suffix_dedup, url_filter
+from . import chat_format, decontaminate, divergence, embed_dedup, exact_dedup, hpylm, langid, line_dedup, mixing, periodic_runs, simhash, suffix_dedup, url_filter
+from .common import LOWER, UPPER
 
 #: The explicit rules of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -90,6 +91,30 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract plants a run in every tenth document, by its id: from a word on, the words repeat with a period. Then the operator judges the words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("doc_id").cast("string")).alias("h"), "text")
+    words = r"CASE WHEN h % 10 = 0 THEN regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0) END"
+    cut = docs.withColumn("ws", F.expr(words)).withColumn("n", F.size("ws"))
+    cut = cut.withColumn("a", F.expr("CASE WHEN n > 0 THEN int(h div 10 % n) END")).withColumn("p", F.expr("int(1 + (n - a) div (3 + h div 10 % 8))"))
+    repeated = F.expr("slice(concat(slice(ws, 1, a), flatten(array_repeat(slice(ws, a + 1, p), int((n - a) div p + 1)))), 1, n)")
+    found = periodic_runs.find_runs(cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text")))
+    best = F.expr("aggregate(runs, CAST(NULL AS struct<start:bigint,length:bigint,period:bigint>), (b, r) -> CASE WHEN b IS NULL OR r.length > b.length THEN r ELSE b END)")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -102,6 +127,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_exact_dedup": op12_exact_dedup,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -165,5 +193,30 @@ a AS (SELECT sum(tokens)::DOUBLE total FROM c)"""
     return sql + (select or "SELECT doc_id, source, lang, topic, n_tokens, round(w,6) weight, round(p,6) prob, draw < round(p,9) kept FROM o")
 
 
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY norm)
+"""
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+w AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM w GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+langs AS (SELECT d.lang, count(k.term) AS v, coalesce(sum(k.c), 0) AS n FROM (SELECT DISTINCT lang FROM d) d LEFT JOIN kept k ON d.lang = k.lang GROUP BY ALL),
+here AS (SELECT w.lang, source, term, count(*) AS c FROM w JOIN kept k USING (lang, term) GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(sum(h.c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN here h ON g.lang = h.lang AND g.source = h.source GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(h.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(h.c, 0) + 5) // (g.n + 5 * l.v) AS p, 1 + 1000000000::HUGEINT * (k.c + 5) // (l.n + 5 * l.v) AS q
+    FROM groups g JOIN langs l ON g.lang = l.lang JOIN kept k ON g.lang = k.lang LEFT JOIN here h ON g.lang = h.lang AND g.source = h.source AND k.term = h.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN
+    (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op7_mixing": op7_sql()}
+    return {"op5_chat_format": OP5_SQL, "op7_mixing": op7_sql(), "op12_exact_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}
