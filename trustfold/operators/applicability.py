@@ -202,7 +202,7 @@ def ks_statistic(train: DataFrame, new: DataFrame, predictor: str) -> float:
 
 
 def drift(train: DataFrame, new: DataFrame, predictors: list[str], alpha: float = 0.05) -> DataFrame:
-    """feature, ks, p, p_adjusted (Bonferroni), cohens_d, shifted."""
+    """feature, ks, p, p_adjusted (Bonferroni), cohens_d, shifted, direction (higher, lower; similar below 0.2 in size). See ``shift`` for the joint test."""
     side = lambda d, k: d.agg(*[f(p).alias(f"{n}_{p}") for p in predictors for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))]).first()
     a, b = side(train, 0), side(new, 1)
     rows = []
@@ -212,8 +212,10 @@ def drift(train: DataFrame, new: DataFrame, predictors: list[str], alpha: float
         n1, n2 = a[f"n_{p}"], b[f"n_{p}"]
         pooled = math.sqrt(((n1 - 1) * (a[f"v_{p}"] or 0) + (n2 - 1) * (b[f"v_{p}"] or 0)) / max(n1 + n2 - 2, 1))
         adjusted = min(1.0, value * len(predictors))
-        rows.append((p, float(d), value, adjusted, (b[f"m_{p}"] - a[f"m_{p}"]) / pooled if pooled else None, adjusted < alpha))
-    return train.sparkSession.createDataFrame(rows, "feature string, ks double, p double, p_adjusted double, cohens_d double, shifted boolean")
+        effect = (b[f"m_{p}"] - a[f"m_{p}"]) / pooled if pooled else None
+        direction = "similar" if abs(effect or 0.0) < 0.2 else "higher" if effect > 0 else "lower"
+        rows.append((p, float(d), value, adjusted, effect, adjusted < alpha, direction))
+    return train.sparkSession.createDataFrame(rows, "feature string, ks double, p double, p_adjusted double, cohens_d double, shifted boolean, direction string")
 
 
 def adversarial(train: DataFrame, new: DataFrame, predictors: list[str], v: int = 5) -> dict:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions.common import hash_order, written
 from ..functions.stats import t_two_sided
+from .neighbours import k_nearest
 
 
 class Fitter(Protocol):
@@ -356,38 +357,45 @@ def stability(repeats: Sequence[float]) -> dict:
 def local_moran(points: DataFrame, k: int = 8, permutations: int = 99, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """points(row_id, x, y, v) to row_id, local_i, p and label (high-high, low-low, high-low, low-high, none).
 
-    k nearest neighbours (by distance, then id) among all pairs, one side broadcast, so it refuses more than 5000 rows; p from conditional
-    permutations seeded by the row id.
+    Weights are the k nearest rows (see neighbours). p is that of conditional permutations: the own value stays, the neighbours' are k values
+    of other rows. A row's null statistics are its own z times means of drawn values, so all rows share the draws: each order by the MD5 of
+    seed and row_id gives disjoint draws of k and a spare value, which replaces the row's own where it was drawn. The driver holds (k + 1)
+    values a permutation.
     """
-    from pyspark.sql.window import Window
-
-    clean = points.dropna()
-    n, mean, var = clean.agg(F.count("*"), F.avg("v"), F.var_pop("v")).first()
-    if n > 5000:
-        raise ValueError("at most 5000 points")
-    z = clean.withColumn("z", (F.col("v") - mean) / math.sqrt(var))
-    other = F.broadcast(z.select(F.col("row_id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("zj")))
-    d = F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2))
-    w = Window.partitionBy("row_id").orderBy("d", "j")
-    near = z.join(other, F.col("row_id") != F.col("j")).withColumn("d", d).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    got = near.groupBy("row_id", "z").agg(F.avg("zj").alias("lag")).withColumn("local_i", F.col("z") * F.col("lag"))
+    clean = points.select("row_id", "x", "y", "v").dropna()
+    n, mean, sd = clean.agg(F.count("*"), F.avg("v"), F.stddev_pop("v")).first()
+    k = min(k, n - 1)
+    if k < 1 or not sd:
+        none = [F.lit(None).cast("double").alias("p"), F.lit("none").alias("label")] if permutations else []
+        return clean.select("row_id", F.lit(None).cast("double").alias("local_i"), *none)
+    z = clean.withColumn("z", (F.col("v") - mean) / sd)
+    near = k_nearest(z, k, value="z")
+    lag = F.aggregate("near", F.lit(0.0), lambda a, b: a + b["v"]) / F.size("near")
+    got = near.select("row_id", lag.alias("lag")).join(z.select(F.col("row_id").cast("long").alias("row_id"), "z"), "row_id").withColumn("local_i", F.col("z") * F.col("lag"))
     if not permutations:
         return got.select("row_id", "local_i")
-    pool = [r.z for r in z.orderBy("row_id").select("z").collect()]
-
-    def permuted(frames):
-        for f in frames:
-            out = []
-            for i, zi, li in zip(f["row_id"], f["z"], f["local_i"]):
-                rng = np.random.default_rng([seed, int(i) & 0x7FFFFFFF])
-                draws = np.array([zi * np.mean(rng.choice(pool, k, replace=False)) for _ in range(permutations)])
-                hits = (draws >= li).sum() if li >= 0 else (draws <= li).sum()
-                out.append((hits + 1) / (permutations + 1))
-            yield f[["row_id", "z", "lag", "local_i"]].assign(p=out)
-
-    tested = got.select("row_id", "z", "lag", "local_i").mapInPandas(permuted, f"row_id {dict(points.dtypes)['row_id']}, z double, lag double, local_i double, p double")
-    side = lambda c: F.when(F.col(c) >= 0, "high").otherwise("low")
-    return tested.select("row_id", "local_i", "p", F.when(F.col("p") <= alpha, F.concat_ws("-", side("z"), side("lag"))).otherwise("none").alias("label"))
+
+    drawn, each = [], n // (k + 1)
+    for order in range(-(-permutations // each)):
+        many = min(each, permutations - order * each) * (k + 1)
+        drawn += [(int(r.row_id), r.z) for r in z.select("row_id", "z").orderBy(hash_order("row_id", seed=seed + order), "row_id").limit(many).collect()]
+    null, swaps = [], []
+    for at in range(0, len(drawn), k + 1):
+        own, spare = drawn[at : at + k], drawn[at + k][1]
+        total = sum(v for _, v in own)
+        null.append(abs(total / k))
+        swaps += [(i, abs(total / k), abs((total - v + spare) / k)) for i, v in own]
+    # As great but for rounding.
+    size = F.abs("lag") - 1e-12
+    swapped = points.sparkSession.createDataFrame(swaps, "row_id bigint, was double, now double")
+    swapped = swapped.groupBy("row_id").agg(F.collect_list(F.struct("was", "now")).alias("swaps"))
+    hits = F.size(F.filter(F.array(*[F.lit(v) for v in null]), lambda v: v >= size))
+    more = F.aggregate(F.coalesce("swaps", F.array()), F.lit(0), lambda a, s: a + (s["now"] >= size).cast("int") - (s["was"] >= size).cast("int"))
+    p = (hits + more + 1) / (permutations + 1)
+    side = lambda test: F.when(test, "high").otherwise("low")
+    own = F.col("z") > 0
+    label = F.when(F.col("p") <= alpha, F.concat_ws("-", side(own), side(own == (F.col("local_i") > 0)))).otherwise("none")
+    return got.join(F.broadcast(swapped), "row_id", "left").withColumn("p", p).select("row_id", "local_i", "p", label.alias("label"))
 
 
 def transferability(data: DataFrame, model: Linear, x: str, y: str, regions: int = 4, seed: int = 42) -> DataFrame:

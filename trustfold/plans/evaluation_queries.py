@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..operators import applicability as A
 from ..operators import evaluation as E
+from ..operators import shift
 from .tables import ORDERS, POINTS, orders, points, table
 
 QUERIES = {}
@@ -171,6 +172,52 @@ def local_moran_i(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(E.local_moran(points(spark, sf_dir).select("row_id", "x", "y", "v"), permutations=0), "local_i")
 
 
+#: Local statistics by all pairs; draws of neighbours from the hashed order, with the spare value in the place of the row's own.
+LOCAL_MORAN = f"""WITH {POINTS}, z AS (SELECT row_id, x, y, (v-avg(v) OVER ())/stddev_pop(v) OVER () z FROM points), c AS (SELECT count(*) // 9 AS per FROM z),
+near AS (SELECT a.row_id, a.z, b.z zj, row_number() OVER (PARTITION BY a.row_id ORDER BY sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)), b.row_id) r FROM z a JOIN z b ON a.row_id<>b.row_id),
+i AS (SELECT row_id, any_value(z) z, avg(zj) lag FROM near WHERE r<=8 GROUP BY 1),
+o AS (SELECT row_id, z, g.round, row_number() OVER (PARTITION BY g.round ORDER BY md5((42+g.round)||':'||row_id), row_id)-1 pos FROM z, (SELECT unnest(range(99 // per + 1)) round FROM c) g),
+d AS (SELECT round*per + pos//9 perm, pos % 9 j, row_id, z FROM o, c WHERE pos < per*9 AND round*per + pos//9 < 99),
+l AS (SELECT perm, sum(z) FILTER (WHERE j<8) total, sum(z) FILTER (WHERE j=8) spare FROM d GROUP BY 1),
+p AS (SELECT i.row_id, any_value(i.z) z, any_value(i.lag) lag, (count(*) FILTER (WHERE abs((total - coalesce(d.z - spare, 0))/8) >= abs(lag) - 1e-12) + 1)/100.0 p
+  FROM i CROSS JOIN l LEFT JOIN d ON d.perm = l.perm AND d.j < 8 AND d.row_id = i.row_id GROUP BY 1)
+SELECT row_id, round(z*lag,6) local_i, round(p::DOUBLE,6) p, CASE WHEN p > 0.05 THEN 'none' ELSE CASE WHEN z>0 THEN 'high-' ELSE 'low-' END || CASE WHEN (z>0) = (z*lag>0) THEN 'high' ELSE 'low' END END AS label FROM p"""
+
+
+@query(LOCAL_MORAN)
+def local_moran(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(E.local_moran(points(spark, sf_dir).select("row_id", "x", "y", "v")), "local_i", "p")
+
+
+def _classifier_sql(steps: int = 9, v: int = 5) -> str:
+    """Newton's method of the folds' logistic models, a common table a step, and the area under the curve of the held-out scores."""
+    sql = f"""WITH {SPLIT}, u AS (SELECT 'train:'||row_id id, w, e4, 0 y FROM tr UNION ALL SELECT 'new:'||row_id, w, e4, 1 FROM nw),
+r AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY md5('42:'||id), id)-1) % {v} fold, (w-avg(w) OVER ())/stddev_samp(w) OVER () p, (e4-avg(e4) OVER ())/stddev_samp(e4) OVER () q, y FROM u),
+b0 AS (SELECT unnest(range({v})) f, 0.0::DOUBLE a, 0.0::DOUBLE b, 0.0::DOUBLE c)"""
+    for t in range(steps):
+        sql += f""",
+s{t} AS MATERIALIZED (SELECT f, any_value(a) a, any_value(b) b, any_value(c) c, sum(m) h00, sum(m*p) h01, sum(m*q) h02, sum(m*p*p) h11, sum(m*p*q) h12, sum(m*q*q) h22, sum(e) g0, sum(e*p) g1, sum(e*q) g2
+ FROM (SELECT *, u*(1-u) m, y-u e FROM (SELECT *, 1/(1+exp(-(a+b*p+c*q))) u FROM r JOIN b{t} ON fold<>f)) GROUP BY f),
+b{t + 1} AS MATERIALIZED (SELECT f, a+((h11*h22-h12*h12)*g0+(h02*h12-h01*h22)*g1+(h01*h12-h02*h11)*g2)/det a, b+((h02*h12-h01*h22)*g0+(h00*h22-h02*h02)*g1+(h01*h02-h00*h12)*g2)/det b, c+((h01*h12-h02*h11)*g0+(h01*h02-h00*h12)*g1+(h00*h11-h01*h01)*g2)/det c
+ FROM (SELECT *, h00*(h11*h22-h12*h12)-h01*(h01*h22-h12*h02)+h02*(h01*h12-h11*h02) det FROM s{t}))"""
+    return sql + f""",
+k AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s)-1)/2.0 r FROM (SELECT y, a+b*p+c*q s FROM r JOIN b{steps} ON fold=f)),
+n AS (SELECT count(*) FILTER (WHERE y=0) n_train, count(*) FILTER (WHERE y=1) n_new FROM k)
+SELECT n_train, n_new, round(((SELECT sum(r) FROM k WHERE y=1)-n_new*(n_new+1)/2.0)/(n_train*n_new),6) classifier_auc FROM n"""
+
+
+@query(_classifier_sql())
+def drift_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, new = _sides(spark, sf_dir)
+    return _round(shift.classifier_test(train, new, ["w", "e4"], n_perm=0).drop("classifier_p"), "classifier_auc")
+
+
+@query(None)
+def drift_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, new = _sides(spark, sf_dir)
+    return _round(shift.drift_summary(train, new, ["w", "e4"]), "max_abs_d", "classifier_auc", "classifier_p")
+
+
 @query(f"""WITH {POINTS}, r AS (SELECT row_id % 4 fold, regr_slope(v,x) s FROM points GROUP BY 1), f AS (SELECT k.fold, regr_slope(v,x) b, regr_intercept(v,x) a FROM points, (SELECT DISTINCT fold FROM r) k WHERE row_id % 4 <> k.fold GROUP BY k.fold)
 SELECT row_id, fold::INT fold, round(a+b*x,6) prediction FROM points JOIN f ON row_id % 4 = fold""")
 def held_out_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
