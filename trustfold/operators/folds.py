@@ -338,79 +338,6 @@ def thinned(data: DataFrame, distance: float, x: str = "x", y: str = "y") -> Dat
     return data.join(gone, "row_id", "left_anti")
 
 
-def nearest_distances(from_points: DataFrame, to_points: DataFrame, x: str = "x", y: str = "y", most: int = 5000) -> list[float]:
-    """Distance of each of ``from_points`` to the nearest of ``to_points``; the latter are ``most`` rows at most and broadcast."""
-    if to_points.limit(most + 1).count() > most:
-        raise ValueError(f"at most {most} target points")
-    right = to_points.select(F.col("row_id").alias("j"), F.col(x).alias("bx"), F.col(y).alias("by"))
-    d = F.sqrt(F.pow(F.col(x) - F.col("bx"), 2) + F.pow(F.col(y) - F.col("by"), 2))
-    return [r.d for r in from_points.join(F.broadcast(right), F.col("row_id") != F.col("j")).groupBy("row_id").agg(F.min(d).alias("d")).collect()]
-
-
-def _ks(a: list[float], b: list[float]) -> float:
-    a, b = sorted(a), sorted(b)
-    i = j = 0
-    worst = 0.0
-    while i < len(a) and j < len(b):
-        v = min(a[i], b[j])
-        while i < len(a) and a[i] <= v:
-            i += 1
-        while j < len(b) and b[j] <= v:
-            j += 1
-        worst = max(worst, abs(i / len(a) - j / len(b)))
-    return worst
-
-
-def nndm(data: DataFrame, targets: DataFrame, x: str = "x", y: str = "y", least: float = 0.5, most: int = 2000) -> DataFrame:
-    """Nearest-neighbour distance matching: leave-one-out whose exclusions make the nearest training distances like the targets'.
-
-    An O(n^2) method of the design stage: up to ``most`` rows, solved on the driver. Returns fold (a row's number), row_id, role.
-    """
-    rows = data.select("row_id", x, y).dropna().orderBy("row_id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"at most {most} rows")
-    goal = sorted(nearest_distances(targets, data.select("row_id", x, y).withColumn("row_id", F.col("row_id") - F.lit(1 << 60)), x, y, most))
-    n, phi = len(rows), max(goal)
-    order = [sorted((math.dist((r[x], r[y]), (s[x], s[y])), j) for j, s in enumerate(rows) if j != i) for i, r in enumerate(rows)]
-    skip, floor = [0] * n, max(1, math.ceil(least * (n - 1)))
-    cdf = lambda values, d: sum(v <= d for v in values) / len(values)
-    near = [o[0][0] for o in order]
-    tried: set[int] = set()
-    while True:
-        todo = sorted((near[i], i) for i in range(n) if near[i] <= phi and i not in tried)
-        for d, i in todo:
-            if n - 1 - (skip[i] + 1) < floor:
-                tried.add(i)
-                continue
-            if cdf(near, d) > cdf(goal, d):
-                skip[i] += 1
-                near[i] = order[i][skip[i]][0]
-                break
-        else:
-            break
-    out = [(i + 1, r.row_id, "test") for i, r in enumerate(rows)]
-    out += [(i + 1, rows[j].row_id, "train") for i in range(n) for _, j in order[i][skip[i] :]]
-    return data.sparkSession.createDataFrame(out, f"fold int, row_id {dict(data.dtypes)['row_id']}, role string")
-
-
-def knndm(data: DataFrame, targets: DataFrame, x: str = "x", y: str = "y", v: int = 5, tries: int = 20, seed: int = 42, most: int = 5000) -> DataFrame:
-    """k-fold nearest-neighbour distance matching: of clusterings from coarse to fine, the one whose distances to other folds are nearest to the targets'."""
-    n = data.count()
-    if n > most:
-        raise ValueError(f"at most {most} rows")
-    goal = nearest_distances(targets, data.select("row_id", x, y).withColumn("row_id", F.col("row_id") - F.lit(1 << 60)), x, y, most)
-    best, least = None, math.inf
-    sizes = sorted({max(v, round(v * (n / v) ** (t / max(tries - 1, 1)))) for t in range(tries)})
-    for k in sizes:
-        got = written(random_folds(data, v, seed) if k >= n // 2 else _clusters_to_folds(_clusters(data, [x, y], k, seed), v))
-        side = got.select(F.col("row_id").alias("j"), F.col("fold").alias("f"), F.col(x).alias("bx"), F.col(y).alias("by"))
-        d = F.sqrt(F.pow(F.col(x) - F.col("bx"), 2) + F.pow(F.col(y) - F.col("by"), 2))
-        near = [r.d for r in got.join(F.broadcast(side), F.col("fold") != F.col("f")).groupBy("row_id").agg(F.min(d).alias("d")).collect()]
-        if near and (score := _ks(near, goal)) < least:
-            best, least = got, score
-    return best
-
-
 def custom_blocks(data: DataFrame, distances: DataFrame, v: int = 5, most: int = 2000, rounds: int = 20) -> DataFrame:
     """k-medoids on the user's distances (i, j, d), the clusters dealt to folds. Up to ``most`` rows, solved on the driver."""
     ids = [r.row_id for r in data.select("row_id").orderBy("row_id").limit(most + 1).collect()]
@@ -484,6 +411,20 @@ def overlap_of_repeats(repeats: DataFrame) -> DataFrame:
     return every.select("fold", "r1", "r2", (m / (F.col("n1") + F.col("n2") - m)).alias("jaccard"))
 
 
+def nndm(data: DataFrame, targets: DataFrame, **how) -> DataFrame:
+    """See distance_matching."""
+    from . import distance_matching
+
+    return distance_matching.nndm(data, targets, **how)
+
+
+def knndm(data: DataFrame, targets: DataFrame, **how) -> DataFrame:
+    """See distance_matching."""
+    from . import distance_matching
+
+    return distance_matching.knndm(data, targets, **how)
+
+
 STRATEGIES = {
     "random": random_folds, "spatial_block": spatial_blocks, "environmental_block": environmental_blocks, "checkerboard": checkerboard,
     "hexagonal": hexagonal, "custom_block": custom_blocks, "knndm": knndm, "nndm": nndm, "leave_location_out": leave_location_out,

@@ -12,6 +12,7 @@ are what is broadcast. Rows of one place are combined before they are shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,37 @@ def _spread(v: np.ndarray) -> np.ndarray:
     return v
 
 
+@dataclass
+class Plane:
+    """The Z-order's grid: 2^31 - 1 steps of each axis."""
+
+    x0: float
+    y0: float
+    scale: tuple[float, float]
+    tiles: int
+    top: int = (1 << _BITS) - 1
+
+
+def z_tiles(rows: DataFrame, size: int) -> tuple[DataFrame, Plane | None]:
+    """rows(x, y, ...) with pos and code in Z-order and tile, written; tiles have at least ``size`` rows, unless there is only one."""
+    rows = written(rows)
+    told = rows.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    if not told.n:
+        return rows, None
+    plane = Plane(told.x0, told.y0, (0.0, 0.0), max(1, min(MOST_TILES, told.n // size)))
+    plane.scale = tuple(plane.top / ((b - a) or 1.0) for a, b in ((told.x0, told.x1), (told.y0, told.y1)))
+    whole = lambda c, low, by: F.least(F.lit(plane.top), F.floor((F.col(c) - low) * by)).cast("long")
+    code = _spread_column(whole("x", plane.x0, plane.scale[0])).bitwiseOR(F.shiftleft(_spread_column(whole("y", plane.y0, plane.scale[1])), 1))
+    placed = global_position(rows.withColumn("code", code), "code", "x", "y")
+    return written(placed.withColumn("tile", F.expr(f"int((pos - 1) * {plane.tiles} div {told.n})"))), plane
+
+
+def tile_boxes(placed: DataFrame) -> dict[str, np.ndarray]:
+    """By tile the least and greatest code, x and y: code_0, code_1, and so on."""
+    boxes = placed.groupBy("tile").agg(*[f(c).alias(f"{c}_{k}") for c in ("code", "x", "y") for k, f in ((0, F.min), (1, F.max))]).orderBy("tile").toPandas()
+    return {c: boxes[c].to_numpy() for c in boxes.columns}
+
+
 class _Members:
     """Places of a tile with the rows that they hold: ``ids`` and ``values`` from first[i] to first[i + 1]."""
 
@@ -91,26 +123,18 @@ def k_nearest(points: DataFrame, k: int, x: str = "x", y: str = "y", value: str
     rows = rows.where("x is not null and y is not null and not isnan(x) and not isnan(y)" + (" and v is not null" if value else ""))
     first = Window.partitionBy("x", "y").orderBy("id")
     spots = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k + 1).groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("held"))
-    spots = written(spots)
-    told = spots.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    if not told.n:
-        return spots.select("x", "y", F.lit(None).cast(NEAR).alias("near")) if places else rows.select(F.col("id").alias("row_id"), F.lit(None).cast(NEAR).alias("near"))
-    top = (1 << _BITS) - 1
-    x0, y0, scale = told.x0, told.y0, [top / ((b - a) or 1.0) for a, b in ((told.x0, told.x1), (told.y0, told.y1))]
-    whole = lambda c, low, by: F.least(F.lit(top), F.floor((F.col(c) - low) * by)).cast("long")
-    code = _spread_column(whole("x", x0, scale[0])).bitwiseOR(F.shiftleft(_spread_column(whole("y", y0, scale[1])), 1))
-    n_tiles = max(1, min(MOST_TILES, told.n // max(TILE, k + 1)))
-    placed = global_position(spots.withColumn("code", code), "code", "x", "y")
-    placed = written(placed.withColumn("tile", F.expr(f"int((pos - 1) * {n_tiles} div {told.n})")).select("pos", "tile", "code", "x", "y", "held"))
+    placed, plane = z_tiles(spots, max(TILE, k + 1))
+    if not plane:
+        return placed.select("x", "y", F.lit(None).cast(NEAR).alias("near")) if places else rows.select(F.col("id").alias("row_id"), F.lit(None).cast(NEAR).alias("near"))
+    top, x0, y0, scale = plane.top, plane.x0, plane.y0, plane.scale
 
     def own(table: pa.Table) -> pa.Table:
         members = _Members(table)
         return pa.table([table.column("pos"), table.column("tile"), pa.chunked_array([pa.array(members.x)]), pa.chunked_array([pa.array(members.y)]), pa.chunked_array([members.best(members.x, members.y, k + 1)])], names=["pos", "tile", "x", "y", "near"])
 
     near = written(placed.groupBy("tile").applyInArrow(own, f"pos bigint, tile int, x double, y double, near {NEAR}"))
-    if n_tiles > 1:
-        boxes = placed.groupBy("tile").agg(*[f(c).alias(f"{c}_{k}") for c in ("code", "x", "y") for k, f in ((0, F.min), (1, F.max))]).orderBy("tile").toPandas()
-        sent = spark.sparkContext.broadcast({c: boxes[c].to_numpy() for c in boxes.columns})
+    if plane.tiles > 1:
+        sent = spark.sparkContext.broadcast(tile_boxes(placed))
 
         def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             box = sent.value
