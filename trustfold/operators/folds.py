@@ -8,6 +8,7 @@ partitioning. Rows with a null in a column that a strategy reads are dealt to fo
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -411,6 +412,37 @@ def overlap_of_repeats(repeats: DataFrame) -> DataFrame:
     return every.select("fold", "r1", "r2", (m / (F.col("n1") + F.col("n2") - m)).alias("jaccard"))
 
 
+def thinned_by_closest(data: DataFrame, distance: float | None = None, x: str = "x", y: str = "y") -> DataFrame:
+    """Rows kept so that no two are nearer than ``distance``, dropping the lesser id of the closest pair again and again.
+
+    Without ``distance`` it is twice the lower quartile of the nearest distances. A row's turn depends only on its nearest rows: it goes when none of
+    them comes before it by (nearest distance, id). So a round drops all such rows, and gives what dropping one at a time gives. The links
+    come from one grid join; rows without coordinates stay, fewer than three rows too.
+    """
+    from .neighbours import k_nearest
+
+    points = data.dropna(subset=[x, y])
+    if points.limit(3).count() < 3:
+        return data
+    if distance is None:
+        distance = 2 * k_nearest(points, 1, x, y).agg(F.percentile(F.get("near", F.lit(0))["d"], 0.25)).first()[0]
+    if not distance:
+        return data
+    links = written(within_radius(points, points, distance, x=x, y=y).where((F.col("a") != F.col("b")) & (F.col("d") < distance)))
+    gone = []
+    while not links.isEmpty():
+        near = links.groupBy("a").agg(F.min("d").alias("nearest"))
+        turn = links.join(near, "a").where(F.col("d") == F.col("nearest")).join(near.select(F.col("a").alias("b"), F.col("nearest").alias("other")), "b")
+        first = turn.groupBy("a").agg(F.bool_and(F.struct("nearest", "a") < F.struct("other", "b")).alias("first"))
+        gone.append(written(first.where("first").select(F.col("a").alias("row_id"))))
+        left = links.join(gone[-1], F.col("a") == F.col("row_id"), "left_anti").join(gone[-1], F.col("b") == F.col("row_id"), "left_anti")
+        links = written(left)
+    out = data
+    if gone:
+        out = data.join(functools.reduce(DataFrame.unionByName, gone), "row_id", "left_anti")
+    return out
+
+
 def nndm(data: DataFrame, targets: DataFrame, **how) -> DataFrame:
     """See distance_matching."""
     from . import distance_matching

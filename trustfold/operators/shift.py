@@ -53,7 +53,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], p: int, v: int, labels: _Labels):
             yield x, (pos - 1) % v, labels.of(_columns(batch, ["y"])[:, 0], pos)
 
 
-def _added(parts: DataFrame) -> np.ndarray:
+def added(parts: DataFrame) -> np.ndarray:
     """Element-wise sum of the arrays of all rows, over a few tasks first."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +89,7 @@ def logistic_folds(rows: DataFrame, p: int, v: int, labels: _Labels, most_steps:
                 total[q:] += np.stack([x[:, i] * x[:, j] for i, j in pairs]) @ weight
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-        got = _added(rows.mapInArrow(sums, "sums binary")).reshape(q + len(pairs), sets, v)
+        got = added(rows.mapInArrow(sums, "sums binary")).reshape(q + len(pairs), sets, v)
         slope, bend = np.moveaxis(got[:q], 0, -1), np.zeros((sets, v, q, q))
         for k, (i, j) in enumerate(pairs):
             bend[..., i, j] = bend[..., j, i] = got[q + k]
