@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..operators import applicability as A
+from ..operators import distance_matching as D
 from ..operators import evaluation as E
-from ..operators import shift
+from ..operators import neighbours, resampling, shift
 from .tables import ORDERS, POINTS, orders, points, table
 
 QUERIES = {}
@@ -189,6 +190,62 @@ def local_moran(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(E.local_moran(points(spark, sf_dir).select("row_id", "x", "y", "v")), "local_i", "p")
 
 
+@query(f"""WITH {POINTS}, p AS (SELECT a.row_id, b.row_id other, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) d FROM points a JOIN points b ON a.row_id<>b.row_id), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, other) nth FROM p)
+SELECT row_id, nth::INT nth, other, round(d,6) d FROM r WHERE nth<=5""")
+def nearest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.k_nearest(points(spark, sf_dir), 5).select("row_id", F.posexplode("near").alias("nth", "b"))
+    return _round(near.select("row_id", (F.col("nth") + 1).alias("nth"), F.col("b.id").alias("other"), F.col("b.d").alias("d")), "d")
+
+
+@query(f"""WITH {POINTS}, p AS (SELECT a.row_id id, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) d FROM points a JOIN points b ON a.row_id<>b.row_id)
+SELECT id, ((d>=0.05)::INT+(d>=0.1)::INT+(d>=0.2)::INT+(d>=0.4)::INT)::INT gap, round(min(d),6) AS first, round(max(d),6) AS last, count(*) n FROM p WHERE d<=0.4 GROUP BY 1,2""")
+def neighbour_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+
+    rows = points(spark, sf_dir).select(F.col("row_id").alias("id"), "x", "y")
+    return _round(D.neighbour_gaps(rows, np.array([0.05, 0.1, 0.2, 0.4])), "first", "last")
+
+
+@query(f"""WITH {POINTS} SELECT a.row_id, round(min(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))),6) d FROM points a JOIN points b ON a.row_id % 5 <> b.row_id % 5 GROUP BY 1""")
+def fold_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(D.fold_distances(points(spark, sf_dir).withColumn("fold", F.col("row_id") % 5), "x", "y"), "d")
+
+
+#: Held-out errors of v on x, block by block, from slopes of the other blocks.
+BLOCK_ERRORS = """k AS (SELECT DISTINCT {0} b FROM points), m AS (SELECT b, regr_slope(v,x) s, regr_intercept(v,x) i FROM k JOIN points ON {0}<>b GROUP BY b),
+e AS (SELECT b, sqrt(avg(pow(v-i-s*x,2))) rmse, 1-sum(pow(v-i-s*x,2))/(var_pop(v)*count(*)) rsq FROM m JOIN points ON {0}=b GROUP BY b)"""
+
+
+@query(f"WITH {POINTS}, {BLOCK_ERRORS.format('label')} SELECT 'rmse' metric, round(avg(rmse),6) estimate, count(*) n_blocks FROM e UNION ALL SELECT 'rsq', round(avg(rsq),6), count(*) FROM e")
+def bootstrap_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = points(spark, sf_dir), E.Linear("v", ["x"], ridge=0.0)
+    both = [resampling.refit_bootstrap(rows, model, "label", n_boot=50, metric=m).select("metric", "estimate", "n_blocks") for m in ("rmse", "rsq")]
+    return _round(both[0].unionAll(both[1]), "estimate")
+
+
+@query(None)
+def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resampling.refit_bootstrap(points(spark, sf_dir), E.Linear("v", ["x", "e4"]), "label")
+    return _round(got, "estimate", "lower", "upper", "se", "bias")
+
+
+@query(f"WITH {POINTS}, {BLOCK_ERRORS.format('row_id % 5')} SELECT 'rmse' metric, round(avg(rmse),6) observed, 0.01::DOUBLE p FROM e")
+def null_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v depends on x, so that no permutation comes near and p is the least possible."""
+    rows, folds = _linear_folds(spark, sf_dir)
+    got = resampling.permuted_targets_test(rows, folds, E.Linear("v", ["x"], ridge=0.0))
+    return _round(got.select("metric", "observed", "p"), "observed", "p")
+
+
+@query(f"""WITH {POINTS}, s AS (SELECT label, count(*) n, sum(x) x, sum(e4) e4 FROM points GROUP BY 1), t AS (SELECT sum(n) n, sum(x) x, sum(e4) e4 FROM s)
+SELECT row_id, 'x' feature, round(2*(p.x-(t.x-s.x)/(t.n-s.n)),6) contribution FROM points p JOIN s USING (label), t UNION ALL SELECT row_id, 'e4', round(-3*(p.e4-(t.e4-s.e4)/(t.n-s.n)),6) FROM points p JOIN s USING (label), t""")
+def contributions_of_a_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of other blocks are drawn, for which a linear model has a closed form."""
+    rows = points(spark, sf_dir)
+    got = resampling.block_contributions(rows, lambda d: d.withColumn("prediction", 2 * F.col("x") - 3 * F.col("e4") + 1), ["x", "e4"], "label", samples=rows.count())
+    return _round(got, "contribution")
+
+
 def _classifier_sql(steps: int = 9, v: int = 5) -> str:
     """Newton's method of the folds' logistic models, a common table a step, and the area under the curve of the held-out scores."""
     sql = f"""WITH {SPLIT}, u AS (SELECT 'train:'||row_id id, w, e4, 0 y FROM tr UNION ALL SELECT 'new:'||row_id, w, e4, 1 FROM nw),

@@ -164,3 +164,13 @@ r AS (SELECT 0::BIGINT i, []::STRUCT(x DOUBLE, y DOUBLE)[] kept, false stays UNI
 SELECT row_id, x, y FROM p JOIN r USING (i) WHERE stays""")
 def thinned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.thinned(points(spark, sf_dir).select("row_id", "x", "y"), 0.05)
+
+
+@query(f"""WITH RECURSIVE {POINTS}, near AS (SELECT a.row_id a, b.row_id b, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) d FROM points a JOIN points b ON a.row_id<>b.row_id), least AS (SELECT a, min(d) d FROM near GROUP BY a),
+cut AS (SELECT 2*quantile_cont(d,0.25) AS limit_d FROM least), links AS (SELECT a, b, d FROM near, cut WHERE d < limit_d),
+r AS (SELECT []::BIGINT[] gone, 1::BIGINT more UNION ALL SELECT CASE WHEN step IS NULL THEN gone ELSE list_append(gone, step) END, step FROM
+ (SELECT gone, (SELECT arg_min(a, {{'d': d, 'a': a}}) FROM links WHERE NOT list_contains(gone, a) AND NOT list_contains(gone, b)) step FROM r WHERE more IS NOT NULL)),
+g AS (SELECT gone FROM r WHERE more IS NULL)
+SELECT row_id, x, y FROM points, g WHERE NOT list_contains(gone, row_id)""")
+def thinned_by_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.thinned_by_closest(points(spark, sf_dir).select("row_id", "x", "y"))
