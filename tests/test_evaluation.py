@@ -128,3 +128,27 @@ def test_simulations(spark):
     s = simulate.preprocessing_leak(spark, 120).agg(F.avg("x1"), F.stddev_samp("x1")).first()
     assert abs(s[0]) < 1e-9 and abs(s[1] - 1) < 1e-9
     assert "leaked_feature" in simulate.combined(spark, 50).columns
+
+
+def test_thin_plate_trend(spark):
+    rng = np.random.default_rng(4)
+    xy = rng.random((300, 2)) * 10
+    rows = [(i, float(a), float(b), float(np.sin(a) + np.cos(b)), float(rng.normal()), None if i % 3 else 1.0) for i, (a, b) in enumerate(xy)]
+    df = spark.createDataFrame(rows, "row_id bigint, x double, y double, smooth double, rough double, gaps double")
+    s = (xy - xy.mean(0)) / (xy.std(0, ddof=1) + 1e-10)
+    knots = [(-1.0, -1.0), (1.0, 1.0), (0.5, -1.0), (-1.0, 1.0), (0.0, 0.0)]
+    r2 = np.stack([((s - k) ** 2).sum(1) for k in knots], axis=1)
+    basis = np.column_stack([np.ones(300), s, r2 * np.log(r2) / 2])
+    out, told = A.debias_thin_plate(df, "x", "y", ["smooth", "rough"], knots=knots)
+    got = {r.row_id: r for r in out.collect()}
+    for p, values in (("smooth", [r[3] for r in rows]), ("rough", [r[4] for r in rows])):
+        v = np.array(values)
+        left = v - basis @ np.linalg.lstsq(basis, v, rcond=None)[0]
+        assert np.allclose([got[i][p] for i in range(300)], left, atol=1e-6)
+        assert abs({r.predictor: r.r2 for r in told.collect()}[p] - (1 - left.var() / v.var())) < 1e-8
+    stiff = A.debias_thin_plate(df, "x", "y", ["smooth"], knots=knots, penalty=1e6)[1].first().r2
+    plane = basis[:, :3]
+    v = np.array([r[3] for r in rows])
+    assert abs(stiff - (1 - (v - plane @ np.linalg.lstsq(plane, v, rcond=None)[0]).var() / v.var())) < 1e-3
+    share = {r.predictor: r for r in A.debias_thin_plate(df, "x", "y", ["smooth", "gaps"], n_knots=15)[1].collect()}
+    assert share["smooth"].r2 > 0.5 and share["gaps"].r2 == 0

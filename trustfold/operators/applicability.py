@@ -267,6 +267,43 @@ def debias(data: DataFrame, x: str, y: str, predictors: list[str], degree: int =
     return out.drop(*basis), data.sparkSession.createDataFrame(told, "predictor string, r2 double, grade string")
 
 
+def debias_thin_plate(data: DataFrame, x: str, y: str, predictors: list[str], n_knots: int = 6, knots: list[tuple[float, float]] | None = None, penalty: float = 0.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Predictors less their thin-plate trend in the scaled coordinates, and (predictor, r2, grade).
+
+    The basis is the plane and r^2 log r around the knots: those given (in scaled coordinates), or 3 to 20 centres of k-means. ``penalty`` weighs the
+    squared knot coefficients per row; a scan gives all sums of products. Rows with a null coordinate have the basis zero but for the constant, rows with a null
+    predictor keep the null and do not count; with fewer than n_knots + 2 rows the predictor stays and r2 is 0.
+    """
+    from .evaluation import Linear
+
+    s = data.agg(F.avg(x).alias("mx"), F.stddev_samp(x).alias("sx"), F.avg(y).alias("my"), F.stddev_samp(y).alias("sy"), F.count("*").alias("n")).first()
+    u, w = (F.col(x) - F.lit(s.mx)) / F.lit((s.sx or 0.0) + 1e-10), (F.col(y) - F.lit(s.my)) / F.lit((s.sy or 0.0) + 1e-10)
+    if knots is None:
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.feature import VectorAssembler
+
+        ready = VectorAssembler(inputCols=["u", "w"], outputCol="f").transform(data.select(u.alias("u"), w.alias("w")).dropna())
+        knots = [tuple(map(float, c)) for c in KMeans(k=max(3, min(n_knots, s.n // 5, 20)), seed=seed, featuresCol="f").fit(ready).clusterCenters()]
+    r2 = lambda k: F.greatest(F.pow(u - F.lit(float(k[0])), 2) + F.pow(w - F.lit(float(k[1])), 2), F.lit(1e-10))
+    names = ["__u", "__w", *(f"__k{i}" for i in range(len(knots)))]
+    basis = {n: F.coalesce(c, F.lit(0.0)) for n, c in zip(names, [u, w, *(r2(k) * F.log(r2(k)) / 2 for k in knots)])}
+    rows, out, told = data.withColumns(basis), data.withColumns(basis), []
+    for p in predictors:
+        model = Linear(p, names)
+        m = model.matrix(model.products(rows).first())
+        grow, share = None, 0.0
+        if m[0, 0] >= len(knots) + 2:
+            eased = m[:-1, :-1].copy()
+            eased[range(3, len(eased)), range(3, len(eased))] += penalty * m[0, 0]
+            scale = 1 / np.sqrt(np.maximum(np.diag(eased), 1e-300))
+            grow = scale * np.linalg.lstsq(eased * scale[:, None] * scale, scale * m[:-1, -1], rcond=1e-12)[0]
+            full, total = np.append(grow, -1.0), m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
+            share = 1 - float(full @ m @ full) / total if total > 0 else 0.0
+            out = out.withColumn(p, F.col(p) - model.expression(grow))
+        told.append((p, float(share), "low" if share < 0.1 else "moderate" if share < 0.4 else "high"))
+    return out.drop(*names), data.sparkSession.createDataFrame(told, "predictor string, r2 double, grade string")
+
+
 def distance_profiles(data: DataFrame, folds: DataFrame, targets: DataFrame, x: str = "x", y: str = "y", sample: int = 1000) -> DataFrame:
     """(kind, d): nearest distances of held-out rows to other folds (cv), of targets to rows (target), of a sample to the rest (sample)."""
     use = [x, y]

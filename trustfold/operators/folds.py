@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -258,24 +259,86 @@ def environmental_blocks(data: DataFrame, columns: list[str], v: int = 5, seed:
     return _clusters_to_folds(_clusters(data, use, max(2, min(max(v, math.ceil(n / 20)), n // 3)), seed, True, 0.95), v)
 
 
+#: Points that Ward's clustering starts from, at most.
+MOST_LEAVES = 4096
+
+
+def ward_clusters(points: list[tuple[float, ...]], weights: list[float], k: int) -> list[int]:
+    """Ward's clusters of weighted points, cut at k: numbers from 0 by first member.
+
+    A chain of nearest clusters grows until two are each other's nearest, which are merged; the merges of the least heights are those that merging
+    the least pair each time makes. A merged cluster is its weighted centre, so distances come from centres and weights.
+    """
+    import numpy as np
+
+    n = len(points)
+    if not n:
+        return []
+    at, mass = np.array(points, float), np.array(weights, float)
+    alive, chain, merges = np.ones(n, bool), [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        a = chain[-1]
+        gap = np.where(alive, mass * mass[a] / (mass + mass[a]) * ((at - at[a]) ** 2).sum(axis=1), np.inf)
+        gap[a] = np.inf
+        b = int(gap.argmin())
+        if len(chain) > 1 and gap[chain[-2]] <= gap[b]:
+            b = chain[-2]
+            chain = chain[:-2]
+            merges.append((float(gap[b]), len(merges), a, b))
+            low, high = min(a, b), max(a, b)
+            at[low] = (at[a] * mass[a] + at[b] * mass[b]) / (mass[a] + mass[b])
+            mass[low] = mass[a] + mass[b]
+            alive[high] = False
+        else:
+            chain.append(b)
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for _, _, a, b in sorted(merges)[: max(0, n - k)]:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    names: dict[int, int] = {}
+    return [names.setdefault(find(i), len(names)) for i in range(n)]
+
+
 def spatial_plus(data: DataFrame, x: str, y: str, environment: list[str], v: int = 5, seed: int = 42) -> DataFrame:
     """Spatial clusters whose environments differ most from a fold's are put in it, with a penalty on size.
 
-    Bisecting k-means stands in for Ward's clustering, which needs all distances.
+    Clusters are Ward's, max(2 v, n / 15) of them: of the rows themselves up to MOST_LEAVES rows, beyond of as many k-means centres with their
+    weights. More than MOST_LEAVES / 2 clusters are not made: a warning says so, and clusters are larger then.
     """
-    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     n = data.count()
-    ready = VectorAssembler(inputCols=[x, y], outputCol="__f").transform(data.dropna(subset=[x, y]))
     k = max(2 * v, math.ceil(n / 15))
-    found = BisectingKMeans(k=min(k, 512), seed=seed, featuresCol="__f", predictionCol="__cluster").fit(ready).transform(ready).select("row_id", "__cluster")
+    if k > MOST_LEAVES // 2:
+        warnings.warn(f"{MOST_LEAVES // 2} clusters instead of {k}", stacklevel=2)
+        k = MOST_LEAVES // 2
+    placed = data.select("row_id", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    if n <= MOST_LEAVES:
+        leaves = placed.orderBy("row_id").collect()
+        cut = ward_clusters([(r.x, r.y) for r in leaves], [1.0] * len(leaves), k)
+        found = data.sparkSession.createDataFrame([(r.row_id, c) for r, c in zip(leaves, cut)], f"row_id {dict(data.dtypes)['row_id']}, __cluster int")
+    else:
+        ready = VectorAssembler(inputCols=["x", "y"], outputCol="__f").transform(placed)
+        near = written(KMeans(k=MOST_LEAVES, seed=seed, featuresCol="__f", predictionCol="leaf").fit(ready).transform(ready).select("row_id", "x", "y", "leaf"))
+        leaves = near.groupBy("leaf").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("leaf").collect()
+        cut = ward_clusters([(r.x, r.y) for r in leaves], [float(r.n) for r in leaves], k)
+        found = near.join(F.broadcast(data.sparkSession.createDataFrame([(r.leaf, c) for r, c in zip(leaves, cut)], "leaf int, __cluster int")), "leaf").select("row_id", "__cluster")
     clustered = data.join(found, "row_id", "left")
     spread = data.agg(*[F.avg(c).alias(f"m_{c}") for c in environment], *[F.stddev_samp(c).alias(f"s_{c}") for c in environment]).first()
     centres = clustered.where("__cluster is not null").groupBy("__cluster").agg(F.count("*").alias("n"), *[F.avg((F.col(c) - spread[f"m_{c}"]) / (spread[f"s_{c}"] or 1.0)).alias(c) for c in environment])
     folds: list[list] = [[] for _ in range(v)]
     size, out = [0] * v, []
-    for r in sorted(centres.collect(), key=lambda r: (-r.n, r["__cluster"])):  # 512 clusters at most
+    for r in sorted(centres.collect(), key=lambda r: (-r.n, r["__cluster"])):  # MOST_LEAVES / 2 clusters at most
         here = [r[c] or 0.0 for c in environment]
         score = [min((math.dist(here, f) for f in folds[k]), default=math.inf) - size[k] / max(n, 1) * v if folds[k] else math.inf - size[k] for k in range(v)]
         best = max(range(v), key=lambda k: (score[k], -size[k], -k))
@@ -339,31 +402,42 @@ def thinned(data: DataFrame, distance: float, x: str = "x", y: str = "y") -> Dat
     return data.join(gone, "row_id", "left_anti")
 
 
-def custom_blocks(data: DataFrame, distances: DataFrame, v: int = 5, most: int = 2000, rounds: int = 20) -> DataFrame:
-    """k-medoids on the user's distances (i, j, d), the clusters dealt to folds. Up to ``most`` rows, solved on the driver."""
-    ids = [r.row_id for r in data.select("row_id").orderBy("row_id").limit(most + 1).collect()]
-    if len(ids) > most:
-        raise ValueError(f"at most {most} rows")
-    at = {r: n for n, r in enumerate(ids)}
-    d = [[math.inf] * len(ids) for _ in ids]
-    for r in distances.toLocalIterator():
-        if r.i in at and r.j in at:
-            d[at[r.i]][at[r.j]] = d[at[r.j]][at[r.i]] = r.d
-    for i in range(len(ids)):
-        d[i][i] = 0.0
-    k = max(2, min(max(v, math.ceil(len(ids) / 20)), len(ids) // 3 or 1))
-    medoids = [round(i * (len(ids) - 1) / max(k - 1, 1)) for i in range(k)]
+def medoid_clusters(ids: DataFrame, distances: DataFrame, k: int, rounds: int = 20) -> DataFrame:
+    """(row_id, cluster): k-medoids of ids(row_id) on distances(i, j, d), whose pairs may stand once or twice; pairs that are missing are infinitely far.
+
+    Medoids start evenly spaced in the order of ids. Rows go to their nearest medoid, the first of equals, and a cluster's medoid becomes
+    the member with the least sum of distances to the others; both are joins and sums over the distances.
+    """
+    d = distances.select("i", "j", F.col("d").cast("double").alias("d"))
+    both = d.unionAll(d.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")).where("i <> j").groupBy("i", "j").agg(F.min("d").alias("d"))
+    both = written(both.unionAll(ids.select(F.col("row_id").alias("i"), F.col("row_id").alias("j"), F.lit(0.0).alias("d"))))
+    placed = written(global_position(ids.select("row_id"), "row_id"))
+    n = placed.count()
+    # Half to even, as for whole numbers of places between medoids.
+    starts = [round(c * (n - 1) / max(k - 1, 1)) for c in range(k)]
+    spaced = placed.sparkSession.createDataFrame([(c, at + 1) for c, at in enumerate(starts)], "cluster int, pos bigint")
+    medoids = written(placed.join(spaced, "pos").select("cluster", F.col("row_id").alias("medoid")))
     for _ in range(rounds):
-        own = [min(range(k), key=lambda c: (d[i][medoids[c]], c)) for i in range(len(ids))]
-        new = []
-        for c in range(k):
-            members = [i for i, o in enumerate(own) if o == c] or [medoids[c]]
-            new.append(min(members, key=lambda i: (sum(d[i][j] for j in members), i)))
-        if new == medoids:
+        near = both.join(medoids, F.col("j") == F.col("medoid")).groupBy(F.col("i").alias("row_id")).agg(F.min(F.struct("d", "cluster"))["cluster"].alias("cluster"))
+        own = written(placed.select("row_id").join(near, "row_id", "left").select("row_id", F.coalesce("cluster", F.lit(0)).alias("cluster")))
+        of = lambda name, c: own.select(F.col("row_id").alias(name), F.col("cluster").alias(c))  # noqa: B023, E731
+        inside = both.join(of("i", "a"), "i").join(of("j", "b"), "j").where("a = b").groupBy(F.col("a").alias("cluster"), "i").agg(F.sum("d").alias("total"), F.count("*").alias("met"))
+        size = own.groupBy("cluster").agg(F.count("*").alias("size"))
+        total = F.when(F.col("met") == F.col("size"), F.col("total")).otherwise(F.lit(math.inf))
+        best = inside.join(size, "cluster").groupBy("cluster").agg(F.min(F.struct(total.alias("total"), "i"))["i"].alias("next"))
+        moved = written(medoids.join(best, "cluster", "left").select("cluster", F.coalesce("next", "medoid").alias("medoid")))
+        if moved.join(medoids, ["cluster", "medoid"], "left_anti").isEmpty():
             break
-        medoids = new
-    table = data.sparkSession.createDataFrame([(r, own[n]) for n, r in enumerate(ids)], "row_id bigint, __cluster int")
-    return _clusters_to_folds(data.join(F.broadcast(table), "row_id", "left"), v)
+        medoids = moved
+    return own
+
+
+def custom_blocks(data: DataFrame, distances: DataFrame, v: int = 5, rounds: int = 20) -> DataFrame:
+    """k-medoids on the user's distances (i, j, d), with max(v, n / 20) clusters, n / 3 at most; the clusters are dealt to folds."""
+    n = data.count()
+    k = max(2, min(max(v, math.ceil(n / 20)), n // 3 or 1))
+    found = medoid_clusters(data.select("row_id"), distances, k, rounds).select("row_id", F.col("cluster").alias("__cluster"))
+    return _clusters_to_folds(data.join(found, "row_id", "left"), v)
 
 
 def chronological_split(data: DataFrame, time: str, share: float = 0.75) -> DataFrame:
