@@ -193,6 +193,15 @@ a AS (SELECT sum(tokens)::DOUBLE total FROM c)"""
     return sql + (select or "SELECT doc_id, source, lang, topic, n_tokens, round(w,6) weight, round(p,6) prob, draw < round(p,9) kept FROM o")
 
 
+OP8_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+n AS (SELECT *, sqrt(list_inner_product(v, v)) AS size FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.size > 0 AND b.size > 0 WHERE list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.98),
+r AS (SELECT vec_id AS id, vec_id AS reach FROM e UNION SELECT r.id, l.b FROM r JOIN l ON r.reach = l.a),
+c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN c ON id = vec_id
+"""
+
 OP12_SQL = f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
@@ -219,4 +228,4 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op7_mixing": op7_sql(), "op12_exact_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}
+    return {"op5_chat_format": OP5_SQL, "op7_mixing": op7_sql(), "op8_embedding_dedup": OP8_SQL, "op12_exact_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}
