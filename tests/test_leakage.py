@@ -130,3 +130,30 @@ def test_export(tmp_path):
         assert (tmp_path / f"c.{end}").stat().st_size > 50
     with pytest.raises(ValueError):
         report.export(cert, str(tmp_path / "c.txt"))
+
+
+def test_every_fitted_stage_is_compared_with_its_training_fit(spark):
+    from pyspark.ml import feature as P
+
+    rows = spark.range(120).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") < 80, "train").otherwise("test").alias("role"), (F.col("id") % 2).cast("double").alias("y"),
+        (F.col("id") * 1.0).alias("a"), (F.col("id") % 7 * 1.0).alias("b"), F.when(F.col("id") >= 100, "late").otherwise(F.concat(F.lit("c"), F.col("id") % 3)).alias("c"),
+        (F.col("id") % 4).cast("double").alias("k"), F.split(F.concat_ws(" ", F.lit("w"), F.when(F.col("id") >= 90, "new")), " ").alias("words"),
+    )
+    rows = P.VectorAssembler(inputCols=["a", "b"], outputCol="v").transform(rows).withColumn("late_y", F.when(F.col("role") == "test", 5.0).otherwise(F.col("y")))
+    train = rows.where("role = 'train'")
+    makers = [
+        P.StandardScaler(withMean=True, inputCol="v", outputCol="o"), P.MinMaxScaler(inputCol="v", outputCol="o"), P.MaxAbsScaler(inputCol="v", outputCol="o"), P.RobustScaler(inputCol="v", outputCol="o"),
+        P.Imputer(inputCols=["a", "b"], outputCols=["a1", "b1"]), P.IDF(inputCol="v", outputCol="o"),
+        P.StringIndexer(inputCol="c", outputCol="o"), P.CountVectorizer(inputCol="words", outputCol="o"), P.TargetEncoder(inputCol="k", outputCol="o", labelCol="late_y", targetType="continuous"),
+    ]
+    for maker in makers:
+        name = type(maker).__name__
+        kind = "encoding_leak" if name in ("StringIndexer", "CountVectorizer", "TargetEncoder") else "preprocessing_leak"
+        assert [(r.type, r.severity, r.n_affected) for r in L.inspect_stage(maker.fit(rows), rows)] == [(kind, L.HARD, 40)], name
+        assert L.inspect_stage(maker.fit(train), rows) == [], name
+        assert L.inspect_stage(maker.fit(train), rows.select("row_id", "role")) == [], name
+    split = rows.select("row_id", "role")
+    w = L.Workflow(rows.drop("role"), split, target="y", preprocess=[makers[6].fit(rows), makers[1].fit(rows)])
+    better, fixed, _ = L.assimilate(w)
+    assert {"encoding_leak", "preprocessing_leak"} == types(fixed) and not {"encoding_leak", "preprocessing_leak"} & types(L.validate(better))

@@ -95,3 +95,19 @@ def test_predictions_of_a_leaky_model(rows):
 def test_fixed_names():
     assert all(leakage.ROLLING_NAMES.search(n) for n in ("ema_5", "sma10", "ewm", "price_cummax", "CumMin_x"))
     assert "LOOCV" in guards.RANDOM_METHODS
+
+
+def test_partition_checks_equal_those_of_every_fold(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(i, int(rng.integers(0, 30)) if i % 9 else None, float(rng.integers(0, 50)) if i % 7 else None) for i in range(120)]
+    data = spark.createDataFrame(rows, "row_id bigint, g int, t double")
+    once = [(i, int(rng.integers(1, 6))) for i in range(120)]
+    for extra in ([], [(3, 1), (3, 2), (4, 5), (4, 5)]):  # rows in several folds, and twice in one
+        folds = spark.createDataFrame(sorted(set(once + extra)), "row_id bigint, fold int")
+        want = {r.fold: r.asDict() for r in scope.fold_checks(data, scope.with_roles(folds), "t", "g").collect()}
+        assert {r.fold: r.asDict() for r in scope.partition_checks(data, folds, "t", "g").collect()} == want
+    single = spark.createDataFrame([(i, 1) for i in range(120)], "row_id bigint, fold int")
+    (r,) = scope.partition_checks(data, single, "t", "g").collect()
+    assert (r.n_train, r.n_test, r.n_overlap, r.n_groups, r.n_early) == (0, 120, 0, 0, 0)

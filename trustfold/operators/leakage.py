@@ -44,6 +44,7 @@ class Risk:
 
 FIXES = {
     "preprocessing_leak": "Fit the preprocessing on training rows only (assimilate does it)",
+    "encoding_leak": "Fit categories, terms and target encodings on training rows only (assimilate does it)",
     "threshold_leak": "Choose the threshold on training or validation predictions (assimilate does it)",
     "index_overlap": "Make a new split without shared rows",
     "duplicate_rows": "Drop repeated rows, or keep them in one fold",
@@ -241,7 +242,7 @@ def tuning_rules(hpo: dict | None, n_train: int = 0, n_test: int = 0) -> list[Ri
 def spatial_rules(rows: DataFrame, x: str, y: str, block: str | None = None, buffer: float | None = None) -> list[Risk]:
     """Test rows much nearer to the training rows than these are to each other; shared blocks; rows within the buffer.
 
-    All training rows count, in broadcast blocks of applicability.BLOCK_ROWS.
+    All training rows count; nearest ones come by cells (see applicability.nearest).
     """
     out = []
     train = rows.where("role = 'train'").select("row_id", x, y).dropna()
@@ -323,46 +324,97 @@ def validate(w: Workflow, strict: bool = False) -> list[Risk]:
     return out
 
 
-def inspect_stage(stage, rows: DataFrame, tolerance: float = 1e-10) -> list[Risk]:
-    """A fitted Spark ML scaler, imputer or PCA against one fitted on the training rows; pipelines are walked."""
+#: What a fitted stage has learnt, as numbers, by its class; PCA's axes have no sign.
+STAGE_NUMBERS = {
+    "StandardScalerModel": lambda s: [s.mean.toArray(), s.std.toArray()],
+    "MinMaxScalerModel": lambda s: [s.originalMin.toArray(), s.originalMax.toArray()],
+    "MaxAbsScalerModel": lambda s: [s.maxAbs.toArray()],
+    "RobustScalerModel": lambda s: [s.median.toArray(), s.range.toArray()],
+    "ImputerModel": lambda s: [[float(v) for v in s.surrogateDF.first()]],
+    "PCAModel": lambda s: [abs(s.pc.toArray())],
+    "IDFModel": lambda s: [s.idf.toArray()],
+}
+#: And as names: categories and terms that are known to it.
+STAGE_NAMES = {
+    "StringIndexerModel": lambda s: [set(names) for names in s.labelsArray],
+    "CountVectorizerModel": lambda s: [set(s.vocabulary)],
+}
+#: Stages whose numbers stay in the JVM are compared by what they make of the training rows.
+STAGE_OUTPUTS = ("TargetEncoderModel",)
+
+
+def _columns_of(stage, side: str) -> list[str]:
+    """The columns that a stage reads (input) or makes (output), one or several."""
+    set_to = lambda p: stage.getOrDefault(p) if stage.hasParam(p) and stage.isSet(p) else None
+    return list(set_to(f"{side}Cols") or ([set_to(f"{side}Col")] if set_to(f"{side}Col") else []))
+
+
+def _refit(stage, train: DataFrame):
+    """The estimator of a fitted stage with its parameters, fitted on ``train``; None if that lacks its inputs."""
+    from pyspark.ml import feature
+
+    maker = getattr(feature, type(stage).__name__.removesuffix("Model"))()
+    stage._copyValues(maker)
+    inputs, outputs = _columns_of(stage, "input"), _columns_of(stage, "output")
+    if any(c not in train.columns for c in inputs):
+        return None
+    return maker.fit(train.drop(*[c for c in outputs if c in train.columns]))
+
+
+def _differs(stage, again, train: DataFrame, tolerance: float) -> str | None:
+    """What a stage has learnt otherwise than ``again``: values, names or encodings."""
     import numpy as np
 
+    name = type(stage).__name__
+    if name in STAGE_NUMBERS:
+        for a, b in zip(STAGE_NUMBERS[name](stage), STAGE_NUMBERS[name](again)):
+            a, b = np.asarray(a, float), np.asarray(b, float)
+            if a.shape != b.shape:
+                return "values"
+            scale = float(np.abs(a).max(initial=0.0))
+            if float(np.abs(a - b).max(initial=0.0)) > (0.01 if name == "PCAModel" else tolerance * scale if scale else tolerance):
+                return "values"
+    elif name in STAGE_NAMES:
+        if STAGE_NAMES[name](stage) != STAGE_NAMES[name](again):
+            return "names"
+    else:
+        outputs = _columns_of(stage, "output")
+        clean = train.drop(*[c for c in outputs if c in train.columns])
+        both = again.transform(stage.transform(clean).withColumnsRenamed({c: f"__{c}" for c in outputs}))
+        gap = F.greatest(*[F.coalesce(F.abs(F.col(c) - F.col(f"__{c}")), F.lit(0.0)) for c in outputs], F.lit(0.0))
+        if (both.agg(F.max(gap)).first()[0] or 0.0) > tolerance:
+            return "encodings"
+    return None
+
+
+def inspect_stage(stage, rows: DataFrame, tolerance: float = 1e-10) -> list[Risk]:
+    """A fitted Spark ML scaler, imputer, PCA, term weighting or encoder against one fitted on the training rows; pipelines are walked.
+
+    Numbers of the data's scale give ``preprocessing_leak``, categories, terms and target encodings ``encoding_leak``. Other stages, and
+    stages whose inputs the rows lack, are not judged.
+    """
     name = type(stage).__name__
     if name == "PipelineModel":
         return [r for s in stage.stages for r in inspect_stage(s, rows)]
-    if name not in ("StandardScalerModel", "PCAModel", "ImputerModel"):
+    if name not in STAGE_NUMBERS and name not in STAGE_NAMES and name not in STAGE_OUTPUTS:
         return []
     train = rows.where("role = 'train'")
-    from pyspark.ml import feature
-
-    maker = getattr(feature, name.removesuffix("Model"))()
-    stage._copyValues(maker)
-    if name != "ImputerModel" and stage.getInputCol() not in train.columns:
+    again = _refit(stage, train)
+    what = _differs(stage, again, train, tolerance) if again is not None else None
+    if not what:
         return []
-    again = maker.fit(train.drop(*[c for c in (stage.getOutputCols() if name == "ImputerModel" else [stage.getOutputCol()]) if c in train.columns]))
-    params = lambda s: [s.mean.toArray(), s.std.toArray()] if name == "StandardScalerModel" else [np.abs(s.pc.toArray())] if name == "PCAModel" else [np.array(list(s.surrogateDF.first()), float)]
-    limit = 0.01 if name == "PCAModel" else None
-    for a, b in zip(params(stage), params(again)):
-        scale = float(np.abs(a).max())
-        if float(np.abs(a - b).max()) > (limit if limit else tolerance * scale if scale else tolerance):
-            return [Risk("preprocessing_leak", HARD, f"{name} was not fitted on the training rows", train.sparkSession.range(0).count(), name)]
-    return []
+    kind = "preprocessing_leak" if what == "values" else "encoding_leak"
+    return [Risk(kind, HARD, f"{name} was not fitted on the training rows: other {what}", rows.where("role <> 'train'").count(), name)]
 
 
 def assimilate(w: Workflow) -> tuple[Workflow, list[Risk], list[Risk]]:
-    """Refit leaky preprocessing on the training rows and drop leaky thresholds. Returns the workflow, what was fixed and what is left."""
-    from pyspark.ml import feature
-
+    """Refit leaky preprocessing and encodings on the training rows and drop leaky thresholds. Returns the workflow, what was fixed and what is left."""
     found = validate(w)
-    fixed = [r for r in found if r.type in ("preprocessing_leak", "threshold_leak")]
+    fixed = [r for r in found if r.type in ("preprocessing_leak", "encoding_leak", "threshold_leak")]
     stages = []
     rows = w.rows()
     for s in w.preprocess:
-        if inspect_stage(s, rows):
-            maker = getattr(feature, type(s).__name__.removesuffix("Model"))()
-            s._copyValues(maker)
-            s = maker.fit(rows.where("role = 'train'"))
-        stages.append(s)
+        stages.append(_refit(s, rows.where("role = 'train'")) if inspect_stage(s, rows) else s)
     better = replace(w, preprocess=stages, thresholds={**(w.thresholds or {}), "optimized_on": "train", "used_test_predictions": False, "adjusted_after_test": False} if w.thresholds else None)
     return better, fixed, [r for r in found if r not in fixed]
 

@@ -19,6 +19,7 @@ EXPLANATIONS = {
     "duplicate_rows": "{n} test rows repeat training rows: a model may answer from memory.",
     "target": "A feature gives the target away; it would not be known when the model is used.",
     "preprocessing_leak": "Test rows took part in the preprocessing.",
+    "encoding_leak": "Test rows took part in an encoding: it knows their categories, terms or targets.",
     "nested_cv_leak": "Tuning saw rows on which the model is judged.",
     "threshold_leak": "The threshold was fitted to the test rows.",
 }

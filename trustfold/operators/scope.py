@@ -113,10 +113,35 @@ def fold_checks(data: DataFrame, folds: DataFrame, time: str | None = None, grou
     if time:
         timed = rows.withColumn("__t", epoch(F.col(time), dict(data.dtypes)[time]))
         last = timed.where(train).groupBy("fold").agg(F.max("__t").alias("last"))
-        out = added(out, timed.where(test).join(F.broadcast(last), "fold").where(F.col("__t") < F.col("last")).groupBy("fold").agg(F.count("*").alias("n_early")), "n_early")
+        out = added(out, timed.where(test).join(last, "fold").where(F.col("__t") < F.col("last")).groupBy("fold").agg(F.count("*").alias("n_early")), "n_early")
     return out
 
 
+def partition_checks(data: DataFrame, folds: DataFrame, time: str | None = None, group: str | None = None) -> DataFrame:
+    """:func:`fold_checks` of a partition folds(row_id, fold), where each fold trains on all others, without a row for every fold and row.
+
+    Training rows are all rows less the fold's own; a row or group is on both sides if another fold has it too; the last training time is
+    the greatest of all folds, or for the fold that has it the second.
+    """
+    own = folds.select("fold", "row_id").join(data, "row_id")
+    ids = own.select("fold", "row_id").distinct()
+    total = ids.select("row_id").distinct().count()
+    often = ids.groupBy("row_id").agg((F.count("*") > 1).alias("twice"))
+    out = ids.join(often, "row_id").groupBy("fold").agg(F.count("*").alias("n_test"), F.count_if("twice").alias("n_overlap"))
+    out = out.select("fold", (F.lit(total) - F.col("n_test") + F.col("n_overlap")).alias("n_train"), "n_test", "n_overlap")
+    if group:
+        by = own.where(F.col(group).isNotNull()).select("fold", F.col(group).alias("__g")).distinct()
+        shared = by.groupBy("__g").agg((F.count("*") > 1).alias("twice"))
+        out = out.join(by.join(shared, "__g").groupBy("fold").agg(F.count_if("twice").alias("n_groups")), "fold", "left")
+    if time:
+        timed = own.select("fold", epoch(F.col(time), dict(data.dtypes)[time]).alias("__t"))
+        top = timed.groupBy("fold").agg(F.max("__t").alias("last")).where("last is not null").orderBy(F.desc("last"), "fold").limit(2).collect()
+        first, second = (top[0].last if top else None), (top[1].last if len(top) > 1 else None)
+        last = F.when(F.col("fold") == F.lit(top[0].fold), F.lit(second)).otherwise(F.lit(first)).cast("double") if top else F.lit(None).cast("double")
+        out = out.join(timed.where(F.col("__t") < last).groupBy("fold").agg(F.count("*").alias("n_early")), "fold", "left")
+    return out.na.fill(0, [c for c in ("n_groups", "n_early") if c in out.columns])
+
+
 def with_roles(folds: DataFrame) -> DataFrame:
     """A partition into folds (row_id, fold) as (fold, row_id, role): test rows of their own fold, training rows of the others."""
     if "role" in folds.columns:
@@ -129,7 +154,8 @@ def with_roles(folds: DataFrame) -> DataFrame:
 def workflow_risks(data: DataFrame, folds: DataFrame, time: str | None = None, group: str | None = None) -> list[Risk]:
     """Risks of every fold's own split."""
     out = []
-    for r in fold_checks(data, with_roles(folds), time, group).orderBy("fold").collect():
+    checks = fold_checks if "role" in folds.columns else partition_checks
+    for r in checks(data, folds, time, group).orderBy("fold").collect():
         r = r.asDict()
         at = f"fold {r['fold']}"
         if r["n_overlap"]:

@@ -294,7 +294,15 @@ def forward_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(",".join(f), round(s, 6)) for f, s in E.forward_selection(rows, folds, "v", ["x", "y", "w", "e4"])], "features string, rmse double")
 
 
-@query(None)
+#: Two-feature least squares of the rows outside each fold, the fold's own error, and all models' predictions.
+ENSEMBLE = f"""WITH {POINTS}, k AS (SELECT unnest(range(5)) f), s AS (SELECT f, avg(v) mv, avg(x) mx, avg(e4) me, var_pop(x) xx, var_pop(e4) ee, covar_pop(x,e4) xe, covar_pop(x,v) xv, covar_pop(e4,v) ev FROM k JOIN points ON row_id % 5 <> f GROUP BY f),
+b AS (SELECT f, (xv*ee-ev*xe)/(xx*ee-xe*xe) b, (ev*xx-xv*xe)/(xx*ee-xe*xe) c, mv, mx, me FROM s), m AS (SELECT f, b, c, mv-b*mx-c*me a FROM b),
+h AS (SELECT f, any_value(a) a, any_value(b) b, any_value(c) c, 1/greatest(1e-12, sqrt(avg(pow(v-a-b*x-c*e4,2)))) wt FROM m JOIN points ON row_id % 5 = f GROUP BY f),
+p AS (SELECT row_id, wt, a+b*x+c*e4 p FROM points, h), q AS (SELECT row_id, sum(wt*p)/sum(wt) m FROM p GROUP BY 1)
+SELECT row_id, round(any_value(m),6) prediction, round(sqrt(sum(wt*pow(p-m,2))/sum(wt)),6) sd FROM p JOIN q USING (row_id) GROUP BY 1"""
+
+
+@query(ENSEMBLE)
 def ensemble_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, folds = _linear_folds(spark, sf_dir)
     return _round(E.ensemble(rows, folds, E.Linear("v", ["x", "e4"]), rows).select("row_id", "prediction", "sd"), "prediction", "sd")
@@ -305,3 +313,65 @@ def adversarial_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, new = _sides(spark, sf_dir)
     got = A.adversarial(train, new, ["w", "e4"])
     return spark.createDataFrame([(got["auc"], got["dissimilarity"], got["verdict"])], "auc double, dissimilarity double, verdict string")
+
+
+def _schemes_sql(schemes: dict[str, str]) -> str:
+    """Common tables: a mean held-out RMSE of v on x for each scheme of folds."""
+    return ", ".join(
+        f"""k{n} AS (SELECT DISTINCT {f} b FROM points), m{n} AS (SELECT b, regr_slope(v,x) s, regr_intercept(v,x) i FROM k{n} JOIN points ON {f}<>b GROUP BY b),
+{n} AS (SELECT avg(e) e FROM (SELECT sqrt(avg(pow(v-i-s*x,2))) e FROM m{n} JOIN points ON {f}=b GROUP BY b))"""
+        for n, f in schemes.items()
+    )
+
+
+@query(f"""WITH {POINTS}, {_schemes_sql({"r1": "row_id % 5", "r2": "row_id % 4", "b1": "label % 5", "b2": "label % 4"})}
+SELECT round((r1.e+r2.e)/2,6) random, round((b1.e+b2.e)/2,6) blocked, round(1-(r1.e+r2.e)/(b1.e+b2.e),6) inflation, round(((r1.e-b1.e)+(r2.e-b2.e))/2/(abs((r1.e-b1.e)-(r2.e-b2.e))/sqrt(2)/sqrt(2)),4) t FROM r1, r2, b1, b2""")
+def cv_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = points(spark, sf_dir)
+    dealt = lambda c, k: rows.select("row_id", (F.col(c) % k).cast("int").alias("fold"))
+    got = E.compare_cv(rows, [dealt("row_id", 5), dealt("row_id", 4)], [dealt("label", 5), dealt("label", 4)], E.Linear("v", ["x"], ridge=0.0), "v")
+    one = spark.createDataFrame([(got["random"], got["blocked"], got["inflation"], got["t"])], "random double, blocked double, inflation double, t double")
+    return _round(one, "random", "blocked", "inflation").withColumn("t", F.round("t", 4))
+
+
+@query(f"""WITH {POINTS}, a AS (SELECT abs(x) di, abs(v) e FROM points), r AS (SELECT min(di) lo, max(di) hi FROM a)
+SELECT greatest(1, least(10, ceil((di-lo)/((hi-lo)/10))))::INT bin, count(*) n, round(avg(di),6) di, round(avg(e),6) error FROM a, r GROUP BY 1""")
+def error_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = points(spark, sf_dir).select("row_id", F.abs("x").alias("di"), F.abs("v").alias("abs_error"))
+    return _round(E.error_profile(rows)[0], "di", "error")
+
+
+def _importance_sql(repeats: int = 3) -> str:
+    parts = []
+    for f in ("x", "y"):
+        for r in range(repeats):
+            parts.append(f"""SELECT '{f}' feature, sqrt(avg(pow(o.v-(0.9*{"m.x" if f == "x" else "o.x"}+1.1*{"m.y" if f == "y" else "o.y"}),2))) e
+ FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_id) i FROM points) o JOIN (SELECT label, x, y, row_number() OVER (PARTITION BY label ORDER BY md5('{42 + r}:'||row_id)) i FROM points) m ON o.label=m.label AND o.i=m.i""")
+    return f"WITH {POINTS}, b AS (SELECT sqrt(avg(pow(v-(0.9*x+1.1*y),2))) e FROM points), p AS ({' UNION ALL '.join(parts)}) SELECT feature, round(avg(p.e-b.e),6) importance, round(stddev_samp(p.e-b.e),6) sd FROM p, b GROUP BY 1"
+
+
+@query(_importance_sql())
+def block_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = E.importance(points(spark, sf_dir), lambda d: d.withColumn("prediction", 0.9 * F.col("x") + 1.1 * F.col("y")), "v", ["x", "y"], "label", n_rep=3)
+    return _round(got, "importance", "sd")
+
+
+KNOTS = [(-1.0, -1.0), (1.0, 1.0), (0.5, -1.0)]
+
+
+def _thin_plate_sql() -> str:
+    """The trend's share by making the basis orthogonal, a column at a time."""
+    near = [f"greatest(pow(u-({a}),2)+pow(w2-({b}),2),1e-10)" for a, b in KNOTS]
+    names = ["u", "w2", *(f"k{i}" for i in range(len(KNOTS)))]
+    sql = f"""WITH {POINTS}, a AS (SELECT w, e4, (x-avg(x) OVER ())/(stddev_samp(x) OVER ()+1e-10) u, (y-avg(y) OVER ())/(stddev_samp(y) OVER ()+1e-10) w2 FROM points),
+c AS (SELECT *, {", ".join(f"{r}*ln({r})/2 k{i}" for i, r in enumerate(near))} FROM a), o0 AS (SELECT {", ".join(f"{n}-avg({n}) OVER () {n}" for n in ["w", "e4", *names])} FROM c)"""
+    for i, n in enumerate(names):
+        rest = ["w", "e4", *names[i + 1 :]]
+        sql += f",\no{i + 1} AS MATERIALIZED (SELECT {', '.join(f'{c}-{n}*(sum({c}*{n}) OVER ())/(sum({n}*{n}) OVER ()) {c}' for c in rest)} FROM o{i})"
+    last = f"o{len(names)}"
+    return sql + "\n" + " UNION ALL ".join(f"SELECT '{p}' predictor, round(1-(SELECT sum({p}*{p}) FROM {last})/(SELECT sum({p}*{p}) FROM o0),6) r2" for p in ("w", "e4"))
+
+
+@query(_thin_plate_sql())
+def thin_plate_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(A.debias_thin_plate(points(spark, sf_dir), "x", "y", ["w", "e4"], knots=KNOTS)[1].select("predictor", "r2"), "r2")

@@ -174,3 +174,13 @@ g AS (SELECT gone FROM r WHERE more IS NULL)
 SELECT row_id, x, y FROM points, g WHERE NOT list_contains(gone, row_id)""")
 def thinned_by_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.thinned_by_closest(points(spark, sf_dir).select("row_id", "x", "y"))
+
+
+@query(f"""WITH RECURSIVE {POINTS}, g AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, min(row_id)) p, count(*) n FROM points WHERE label IS NOT NULL GROUP BY 1),
+r AS (SELECT 0::BIGINT p, [0,0,0,0,0]::BIGINT[] l, 0::BIGINT f UNION ALL
+ SELECT r.p+1, list_transform(l, lambda x, i: x + CASE WHEN i = list_position(l, list_min(l)) THEN g.n ELSE 0 END), list_position(l, list_min(l))::BIGINT FROM r JOIN g ON g.p = r.p+1),
+f AS (SELECT row_id, x, y, r.f::INT fold FROM points JOIN g USING (label) JOIN r ON r.p = g.p),
+gone AS (SELECT DISTINCT b.fold, a.row_id FROM f a JOIN f b ON a.fold <> b.fold AND sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= 0.02)
+SELECT k.fold, f.row_id, CASE WHEN f.fold = k.fold THEN 'test' ELSE 'train' END AS role FROM f, (SELECT DISTINCT fold FROM f) k WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.fold = k.fold AND gone.row_id = f.row_id)""")
+def folds_spatial_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.make_folds(points(spark, sf_dir), "spatial_group", x="x", y="y", group="label", range=0.02).select("fold", "row_id", "role")

@@ -295,3 +295,34 @@ def debias_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     _, told = debias(points(spark, sf_dir), "x", "y", ["w", "e4"], degree=1)
     return told.select("predictor", F.round("r2", 6).alias("r2"), "grade")
+
+
+@query(f"""WITH {ORDERS}, f AS (SELECT row_id, cust, day, (row_id % 5)::INT fold FROM orders_r), k AS (SELECT fold, count(*) n FROM f GROUP BY 1), g AS (SELECT cust, count(DISTINCT fold) folds FROM f GROUP BY 1)
+SELECT fold, (SELECT count(*) FROM f)-n n_train, n n_test, 0::BIGINT n_overlap, (SELECT count(DISTINCT f.cust) FROM f JOIN g USING (cust) WHERE f.fold=k.fold AND folds>1) n_groups,
+ (SELECT count(*) FROM f WHERE f.fold=k.fold AND f.day < (SELECT max(o.day) FROM f o WHERE o.fold<>k.fold)) n_early FROM k""")
+def partition_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = orders(spark, sf_dir)
+    return scope.partition_checks(rows, rows.select("row_id", (F.col("row_id") % 5).cast("int").alias("fold")), "day", "cust")
+
+
+STAR = [(-0.1, -0.1), (0.1, -0.05), (0.2, 0.1), (0.05, 0.05), (-0.05, 0.2), (-0.2, 0.1)]
+EDGES = ", ".join(f"({a[0]}::DOUBLE,{a[1]}::DOUBLE,{b[0]}::DOUBLE,{b[1]}::DOUBLE)" for a, b in zip(STAR, [*STAR[1:], STAR[0]]))
+
+
+@query(f"WITH {POINTS}, e(x1,y1,x2,y2) AS (VALUES {EDGES}) SELECT row_id, count(*) FILTER (WHERE (y1>y)<>(y2>y) AND x < (x2-x1)*(y-y1)/(y2-y1)+x1) % 2 = 1 AS inside FROM points, e GROUP BY row_id")
+def inside_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("row_id", integrity.inside_polygon(STAR, F.col("x"), F.col("y")).alias("inside"))
+
+
+@query(f"""WITH {ORDERS} SELECT sum((role='train')::INT)::BIGINT n_train, sum((role='test')::INT)::BIGINT n_test, count(DISTINCT cust) FILTER (WHERE cust IN (SELECT cust FROM orders_r WHERE role='train') AND cust IN (SELECT cust FROM orders_r WHERE role='test')) n_groups,
+'a split of its own groups: unusable' verdict FROM orders_r""")
+def split_by_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What validate_split says of a split that shares customers: it raises, and names as many as the join finds."""
+    rows = orders(spark, sf_dir)
+    split = rows.select("row_id", "role")
+    try:
+        integrity.validate_split(rows.drop("role"), split, group="cust")
+        said, n = "usable", 0
+    except integrity.HardViolation as e:
+        said, n = "a split of its own groups: unusable", int(next(w for w in str(e).split() if w.isdigit()))
+    return split.agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test")).select("n_train", "n_test", F.lit(n).cast("long").alias("n_groups"), F.lit(said).alias("verdict"))
