@@ -209,18 +209,24 @@ def fit(docs: DataFrame, sample_rows: int = 2048, seed: int = 7) -> LanguageMode
     picked = usable.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", F.xxhash64("text").alias("h"), "text")
     counts = picked.mapInPandas(counted, f"doc_id {dict(picked.dtypes)['doc_id']}, lang string, h bigint, at array<int>, n array<int>")
     # Ids may repeat; the limit holds for rows.
-    rows = counts.orderBy("doc_id", "h", "lang", F.hash("at", "n")).limit(3 * sample_rows).select("lang", "at", "n").toArrow().combine_chunks()
+    rows = counts.orderBy("doc_id", "h", "lang", F.hash("at", "n")).limit(3 * sample_rows).select("lang", "at", "n").toArrow()
     if not rows.num_rows:
         return None
     langs = rows.column("lang").to_pylist()
-    size = np.array(rows.column("at").combine_chunks().value_lengths(), np.int64)
-    at, n = (np.array(rows.column(c).combine_chunks().flatten()) for c in ("at", "n"))
+    lists = rows.column("at").combine_chunks()
+    size, at = np.array(lists.value_lengths(), np.int64), np.array(lists.flatten())
     first = np.concatenate([[0], np.cumsum(size)])
-    total = np.add.reduceat(n, first[:-1])
+    n = rows.column("n").combine_chunks().flatten().to_numpy()
+    total = np.add.reduceat(n, first[:-1], dtype=np.int64)
+    share = n.astype(np.float32)
+    share /= np.repeat(total.astype(np.float32), size)
+    # The driver goes on with little memory.
+    del rows, lists, n
+    pa.default_memory_pool().release_unused()
     labels = sorted({v for v in langs if v is not None})
     y = np.array([labels.index(v) if v is not None else len(labels) for v in langs])
     # A text has a gram a byte and one more.
-    return train(Shares(first, at, (n / np.repeat(total, size)).astype(np.float32)), 1 << BUCKET_BITS, y, total <= SHORT_BYTES, labels, seed=seed, least_steps=LEAST_STEPS)
+    return train(Shares(first, at, share), 1 << BUCKET_BITS, y, total <= SHORT_BYTES, labels, seed=seed, least_steps=LEAST_STEPS)
 
 
 def predict_udf(model: LanguageModel):
