@@ -35,14 +35,16 @@ def test_banded_distance_matches_plain():
     assert ld.within([long, long], [long[:-1] + "cc", "ccc" + long], 2).tolist() == [True, False]
 
 
-def brute(docs, budget, least, exact=ld.EXACT_CHARS):
-    order = sorted((i is None, i, k, d) for d, (i, t) in enumerate(docs) for k, _ in enumerate((t or "").split("\n")) if True)
+def brute(docs, budget, full=ld.MIN_CHARS, one=ld.ONE_CHARS):
+    """Line numbers to remove of each document: every line against every one before it."""
+    order = sorted((i is None, i, k, d) for d, (i, t) in enumerate(docs) for k, _ in enumerate((t or "").split("\n")))
+    allowed = lambda n: budget if n >= max(full, 2 * budget + 2) else min(budget, 1) if n >= one else 0
     seen, gone = [], {}
     for _, _, k, d in order:
         t = ld.normal(docs[d][1].split("\n")[k]) if docs[d][1] else ""
-        if len(t) < min(least, exact):
+        if not t:
             continue
-        if t in seen or len(t) >= least and any(len(s) >= least and abs(len(s) - len(t)) <= budget and ld._plain(t, s) <= budget for s in seen):
+        if t in seen or any(ld._plain(t, s) <= allowed(min(len(t), len(s))) for s in seen if abs(len(s) - len(t)) <= budget):
             gone.setdefault(d, set()).add(k)
         if t not in seen:
             seen.append(t)
@@ -54,9 +56,9 @@ def test_documents_match_brute_force(spark):
     for budget in (1, 2):
         pool = lines(rng, 25)
         docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 7)))) for i in range(40)] + [(100, None), (101, "")]
-        want = brute(docs, budget, 12)
+        want = brute(docs, budget, 12, 12)
         df = spark.createDataFrame(docs, "doc_id long, text string").withColumnRenamed("text", "text")
-        got = {r.doc_id: r for r in ld.dedup_lines(df, budget, 12).collect()}
+        got = {r.doc_id: r for r in ld.dedup_lines(df, budget, 12, 12).collect()}
         for d, (i, t) in enumerate(docs):
             keep = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get(d, ()))
             assert got[i].text == keep and got[i].n_removed == len(want.get(d, ()))
@@ -133,10 +135,48 @@ def test_many_similar_lines(spark):
     assert got == later and len(later) > 1500
 
 
-def test_short_lines_repeat_exactly(spark):
-    rows = [(1, "all rights reserved."), (2, "All  rights reserved.\nyes"), (3, "all rights reserved!\nyes"), (4, "{\n}\nyes")]
+def test_lines_of_all_lengths_match_brute_force(spark):
+    """Lines of 1 to 40 characters, most of them edited copies of others, across both limits of length."""
+    rng = random.Random(21)
+    base = ["".join(rng.choice("abcé ") for _ in range(n)) for n in range(1, 41)]
+    pool = base + [edits(rng, t, rng.randrange(1, 4)) for t in base for _ in range(3)]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 6)))) for i in range(90)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for full, one in ((ld.MIN_CHARS, ld.ONE_CHARS), (20, 6)):
+        want = brute(docs, 2, full, one)
+        got = {r.doc_id: (r.text, r.n_removed) for r in ld.dedup_lines(df, 2, full, one).collect()}
+        assert got == {i: ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get(i, ())), len(want.get(i, ()))) for i, t in docs}
+        lengths = {len(ld.normal(docs[d][1].split("\n")[k])) for d, ks in want.items() for k in ks}
+        assert min(lengths) < 6 and max(lengths) > 36
+
+
+def test_short_lines_in_large_buckets(spark):
+    """Many lines of 20 characters a letter apart: one edit decides, whatever way a bucket is judged."""
+    pool = list(dict.fromkeys(f"same start {a}{b} of all" for a in "abcdefghijkl" for b in "mnopqrstuvwx"))
+    order = sorted(range(len(pool)))
+    later = {j for j in order for i in order[:j] if ld._plain(pool[i], pool[j]) <= 1}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(pool)], "doc_id long, text string")
+    assert {r.doc_id for r in ld.dedup_lines(docs).collect() if r.n_removed} == later and len(later) == len(pool) - 1
+    known = spark.createDataFrame([(100 + i, t, (i,)) for i, t in enumerate(pool)], "line long, words string, place struct<n:int>")
+    members = known.selectExpr("1L AS key", "line")
+    for most in (8, 4096):
+        assert {r.line - 100 for r in ld.bucket_witnesses(members, known, 2, most, ld.MIN_CHARS).collect()} == later
+
+
+def test_short_lines(spark):
+    rows = [(1, "all rights reserved."), (2, "All  rights reserved.\nyes"), (3, "all rights reserved!\nyes"), (4, "{\n}\nyes"), (5, "all rights resorved?\nyet")]
     got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: rows[0][1], 2: "yes", 3: rows[2][1], 4: rows[3][1]}
+    assert got == {1: rows[0][1], 2: "yes", 3: "", 4: "{\n}", 5: rows[4][1]}
+
+
+def test_clashing_columns(spark):
+    names = ["key", "row", "removed", "doc", "line", "n", "__key", "__row", "__removed", "n_removed", "first"]
+    rows = [(i, "a line that stands twice in the table", *[f"{c}{i}" for c in names]) for i in (1, 2)]
+    got = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)))
+    assert got.columns == ["doc_id", "text", *names, "n_lines"]
+    by = {r.doc_id: r.asDict() for r in got.collect()}
+    assert by[1]["text"] == rows[0][1] and by[2]["text"] == "" and by[2]["n_removed"] == 1
+    assert all(by[i][c] == f"{c}{i}" for i in (1, 2) for c in names if c != "n_removed")
 
 
 def test_edge_cases(spark):

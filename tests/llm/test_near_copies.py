@@ -84,3 +84,16 @@ def test_histograms_exclude_no_similar_pair():
                 excluded += 1
     assert excluded >= 6
     assert near_copies.may_be_similar(near_copies.histogram(x)[:8], near_copies.histogram(y))
+
+
+def test_clashing_columns(spark):
+    from trustfold.llm import simhash
+
+    names = ["__head", "__n", "__row", "head", "n", "doc", "fp", "component_id", "id"]
+    text = "the same ten words stand in this text and again"
+    rows = [(1, text, *names), (2, text, *names), (3, "b", *names), (3, "a", *names), (None, text, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    want = [rows[0], rows[3], rows[4]]
+    for module in (near_copies, simhash):
+        got = module.keep_first(docs)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)

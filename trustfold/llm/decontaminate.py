@@ -9,8 +9,8 @@ Items reach the executors in blocks of bounded size, one pass over the texts a b
 benchmark is; a block's matches are written before the next one is sent, so that one block is in memory at a time. An item's bit
 masks take room by its own length. Texts are read whole.
 
-Items shorter than ``min_chars`` after normalisation are found where they stand unchanged between word bounds, if they have
-``min_words`` words; with fewer words they say nothing and match nothing.
+Items are searched whatever their length. One that is too short for an edit (below 1 / rate characters) is found where it stands
+unchanged between word bounds.
 
 Defined cases: null or empty texts match nothing; null and empty items and items without an id match nothing; very long items are
 matched whole, an item longer than a block is a block of its own; equal items are reported each under
@@ -57,10 +57,10 @@ def _triples(code: np.ndarray) -> np.ndarray:
 class Matcher:
     """A block of normalised items, ready for matching."""
 
-    def __init__(self, items: list[str], rate: float, min_chars: int = 0) -> None:
+    def __init__(self, items: list[str], rate: float) -> None:
         self.length = np.array([len(t) for t in items], np.int64)
-        self.exact = self.length < min_chars
-        self.budget = np.where(self.exact, 0, (rate * self.length + 1e-9).astype(np.int64))
+        self.budget = (rate * self.length + 1e-9).astype(np.int64)
+        self.exact = self.budget == 0
         self.words = (self.length + 63) // 64
         where = defaultdict(list)
         for i, t in enumerate(items):
@@ -191,14 +191,14 @@ class Matcher:
 
 
 @lru_cache(maxsize=1)
-def _matcher(items: tuple[str, ...], rate: float, min_chars: int) -> Matcher:
-    return Matcher(list(items), rate, min_chars)
+def _matcher(items: tuple[str, ...], rate: float) -> Matcher:
+    return Matcher(list(items), rate)
 
 
-def _search(block, rate: float, min_chars: int):
+def _search(block, rate: float, kind: pa.DataType):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, items = block.value
-        matcher = _matcher(items, rate, min_chars)
+        matcher = _matcher(items, rate)
         for batch in batches:
             found = {}
             for at, part in text_slices(batch.column("text")):
@@ -207,7 +207,7 @@ def _search(block, rate: float, min_chars: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(rows),
-                    pa.array([ids[i] for _, i in found]).cast(pa.int64()),
+                    pa.array([ids[i] for _, i in found], kind),
                     pa.array([e for e, _ in found.values()], pa.int32()),
                     pa.array([x for _, x in found.values()], pa.int64()),
                     pa.array([len(items[i]) for _, i in found], pa.int32()),
@@ -218,7 +218,7 @@ def _search(block, rate: float, min_chars: int):
     return of
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = 32, min_words: int = 4, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs(doc_id, text) against benchmark(item_id, text): doc_id, item_id, edits, end (in the normalised text), item_chars.
 
     One row per document row and item found in it.
@@ -227,14 +227,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_c
     usable = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     size = usable.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id bigint, edits int, end bigint, item_chars int"
+    kind = usable.select("item_id").limit(0).toArrow().schema.field(0).type
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, edits int, end bigint, item_chars int"
     out = None
     for b in range(blocks):
         rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        rows = sorted({(r.item_id, t) for r in rows for t in [normal(r.text)] if len(t) >= min_chars or t.count(" ") + 1 >= min_words})
+        rows = sorted({(r.item_id, t) for r in rows for t in [normal(r.text)] if t})
         if rows:
             block = spark.sparkContext.broadcast(([i for i, _ in rows], tuple(t for _, t in rows)))
-            found = docs.where("text is not null").select("doc_id", "text").mapInArrow(_search(block, rate, min_chars), schema)
+            found = docs.where("text is not null").select("doc_id", "text").mapInArrow(_search(block, rate, kind), schema)
             if blocks > 1:
                 found = written(found)
                 block.unpersist()
@@ -253,5 +254,5 @@ def best_matches(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` in which no item is found; rows without an id are judged by a key of their own."""
     key = F.xxhash64("doc_id", "text")
-    bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.withColumn("__key", key).join(bad, F.col("__key") == F.col("__bad"), "left_anti").drop("__key")
+    bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("key")).distinct()
+    return docs.select(F.struct("*").alias("doc"), key.alias("key")).join(bad, "key", "left_anti").select("doc.*")

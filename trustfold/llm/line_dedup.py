@@ -1,11 +1,11 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines are compared after lower-casing and joining their words by single blanks. A line of at least ``min_chars``
-characters is removed if the same or a similar line, within ``budget`` edits, occurs earlier: lines are in order
-of the document id, then their place in it; the first of equal lines stands for all of them. Of shorter lines, those of at least
-``exact_chars`` characters are removed if the same line occurs earlier, and still shorter ones (a word, a bracket, a number) are left alone.
+Lines are compared after lower-casing and joining their words by single blanks. Every line that is not blank counts: it is removed if
+the same line occurs earlier, or a similar one. Lines are in order of the document id, then their place in it; the first of equal lines stands
+for all of them. How similar depends on the shorter of two lines: from ``min_chars`` characters on they may differ by ``budget`` edits, from
+``one_chars`` on by one, and still shorter ones (a word, a bracket, a number), of which an edit makes another line, by none.
 
-Every distinct line is cut into budget + 1 segments, and within the budget one segment of the shorter (or equal) line stands
+For each of the two budgets, every distinct line of its lengths is cut into budget + 1 segments, and within the budget one segment of the shorter (or equal) line stands
 unchanged in the other, at one of few places. So a line enters an index under (its length, segment number, segment), and
 probes it with its own substrings at the places that the two lengths allow. Lines that meet are first held against
 counts of letter pairs, which an edit changes by four at most, and then decided by a banded bit-parallel edit distance.
@@ -36,9 +36,10 @@ from .common import bound_batches, input_tasks, release, text_slices, written
 BUDGET = 2
 #: Up to so many ids of lines in pairs (16 MB) are broadcast to fetch their texts; more of them are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
+#: Of lines from this length on, two edits make no other line.
 MIN_CHARS = 32
-#: Two edits would make one line of many short ones; from this length on they are held against equal ones only.
-EXACT_CHARS = 16
+#: From this length on one edit makes no other line.
+ONE_CHARS = 16
 _U = np.uint64
 _R = _U(0x5851F42D4C957F2D)
 _R_INV = _U(pow(int(_R), -1, 1 << 64))
@@ -169,11 +170,29 @@ def keys(lines: list[str], budget: int, min_chars: int) -> tuple[np.ndarray, np.
 ENTRIES = "key bigint, mark bigint, sketch bigint"
 
 
-def _entries(budget: int, min_chars: int, hot: np.ndarray | None = None):
+def tiers(budget: int, min_chars: int, one_chars: int) -> list[tuple[int, int, int]]:
+    """(least, greatest) length of the shorter of two lines and the edits by which they may differ; lines too short for their segments are left out."""
+    full = max(min_chars, 2 * budget + 2)
+    out = [(full, 1 << 62, budget)]
+    if budget > 1 and max(one_chars, 4) < full:
+        out.append((max(one_chars, 4), full - 1, 1))
+    return out
+
+
+def _entries(budgets: list[tuple[int, int, int]], hot: np.ndarray | None = None):
     hot = np.zeros(0, np.int64) if hot is None else hot
 
+    def tiered(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        parts = []
+        for least, most, budget in budgets:
+            own = [i for i, t in enumerate(lines) if least <= len(t) <= most + budget]
+            if own:
+                key, line, probe, sketch = keys([lines[i] for i in own], budget, least)
+                parts.append((key, np.array(own)[line], probe, sketch))
+        return tuple(np.concatenate(p) for p in zip(*parts))
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for once in _distinct(batches, min_chars):
+        for once in _distinct(batches, min(least for least, _, _ in budgets)):
             at = 0
             while at < len(once):
                 end, size = at, 0
@@ -181,7 +200,7 @@ def _entries(budget: int, min_chars: int, hot: np.ndarray | None = None):
                     size += len(once[end])
                     end += 1
                 ids = np.array([line_id(t) for t in once[at:end]], np.int64)
-                key, line, probe, sketch = keys(once[at:end], budget, min_chars)
+                key, line, probe, sketch = tiered(once[at:end])
                 columns = {"key": key, "mark": ids[line] * 2 + probe, "sketch": sketch.view(np.int64)}
                 if len(hot):
                     salt = np.zeros(len(key), np.int16)
@@ -351,6 +370,15 @@ def within(left: list[str], right: list[str], budget: int) -> np.ndarray:
     return out
 
 
+def alike(left: list[str], right: list[str], budget: int, full_chars: int = 0) -> np.ndarray:
+    """:func:`within`, but by one edit only where the shorter line is below ``full_chars``."""
+    near = within(left, right, budget)
+    short = [i for i in np.flatnonzero(near).tolist() if min(len(left[i]), len(right[i])) < full_chars]
+    if short and budget > 1:
+        near[short] = within([left[i] for i in short], [right[i] for i in short], 1)
+    return near
+
+
 def _plain(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -361,10 +389,10 @@ def _plain(a: str, b: str) -> int:
     return row[-1]
 
 
-def _verify(budget: int):
+def _verify(budget: int, full_chars: int = 0):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = within(batch.column("left").to_pylist(), batch.column("right").to_pylist(), budget)
+            near = alike(batch.column("left").to_pylist(), batch.column("right").to_pylist(), budget, full_chars)
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return of
@@ -376,7 +404,7 @@ def _text_sketches(words: list[str]) -> np.ndarray:
     return _sketches(codes, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
 
 
-def witnessed(words: list[str], start: np.ndarray, size: np.ndarray, asks: np.ndarray, budget: int) -> np.ndarray:
+def witnessed(words: list[str], start: np.ndarray, size: np.ndarray, asks: np.ndarray, budget: int, full_chars: int = 0) -> np.ndarray:
     """Of lines in order, in buckets (start, size), which of those that ask are within the budget of some line before them in their bucket.
 
     Lines are held against the first ones first, and one that has found a witness asks no more; all others are held against every line
@@ -390,7 +418,7 @@ def witnessed(words: list[str], start: np.ndarray, size: np.ndarray, asks: np.nd
         waiting.clear()
         new = ~found[x]
         x, y = x[new], y[new]
-        ok = within([words[k] for k in y.tolist()], [words[k] for k in x.tolist()], budget)
+        ok = alike([words[k] for k in y.tolist()], [words[k] for k in x.tolist()], budget, full_chars)
         found[x[ok]] = True
 
     open_ = [(s, n, s + np.flatnonzero(asks[s : s + n])) for s, n in zip(start.tolist(), size.tolist())]
@@ -414,7 +442,7 @@ def witnessed(words: list[str], start: np.ndarray, size: np.ndarray, asks: np.nd
     return found
 
 
-def _witnesses(budget: int):
+def _witnesses(budget: int, full_chars: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (key, cell, line, words, asks) sorted by key, cell and place to the lines that have a witness; holds the open cell."""
         held: list[pa.Table] = []
@@ -425,7 +453,7 @@ def _witnesses(budget: int):
             first, _ = _sizes(key, cell, line)
             start, size = _sizes(key[first], cell[first])
             asks = np.logical_or.reduceat(asks.astype(bool), first)
-            near = witnessed(table.column("words").take(pa.array(first)).to_pylist(), start, size, asks, budget)
+            near = witnessed(table.column("words").take(pa.array(first)).to_pylist(), start, size, asks, budget, full_chars)
             if near.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(line[first[near]]))], names=["line"])
 
@@ -446,7 +474,7 @@ def _witnesses(budget: int):
     return of
 
 
-def _near_centre(budget: int):
+def _near_centre(budget: int, full_chars: int):
     def of(words: pa.Array, centres: pa.Array) -> pa.Array:
         """Whether each line is within the budget of any of its centres."""
         size, own = centres.value_lengths().to_pylist(), words.to_pylist()
@@ -454,13 +482,13 @@ def _near_centre(budget: int):
         owner = np.repeat(np.arange(len(own)), size)
         near = np.zeros(len(own), bool)
         if left:
-            near[owner[within(left, right, budget)]] = True
+            near[owner[alike(left, right, budget, full_chars)]] = True
         return pa.array(near)
 
     return of
 
 
-def bucket_witnesses(members: DataFrame, known: DataFrame, budget: int, most: int = CELL) -> DataFrame:
+def bucket_witnesses(members: DataFrame, known: DataFrame, budget: int, most: int = CELL, full_chars: int = 0) -> DataFrame:
     """members(key, line) of large buckets and known(line, words, place) to the lines (once or more) that are within the budget of an
     earlier line of a bucket.
 
@@ -474,7 +502,7 @@ def bucket_witnesses(members: DataFrame, known: DataFrame, budget: int, most: in
 
     def judged(cells: DataFrame) -> DataFrame:
         dealt = cells.repartition(tasks, "key", "cell").sortWithinPartitions("key", "cell", "place", "line")
-        return dealt.select("key", "cell", "line", "words", "asks").mapInArrow(_witnesses(budget), "line bigint")
+        return dealt.select("key", "cell", "line", "words", "asks").mapInArrow(_witnesses(budget, full_chars), "line bigint")
 
     hot = sizes.where(F.col("n") > most).withColumn("parts", F.ceil(F.col("n") * 2 / most).cast("long"))
     if hot.isEmpty():
@@ -485,7 +513,7 @@ def bucket_witnesses(members: DataFrame, known: DataFrame, budget: int, most: in
     early = early.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("c.place"))).where(F.col("nth") <= _CENTRES)
     early = early.groupBy("key").agg(F.collect_list("c").alias("centres"))
     before = F.transform(F.filter("centres", lambda c: c["place"] < F.col("place")), lambda c: c["words"])
-    settled = written(large.join(early, "key").select("key", "line", F.arrow_udf(_near_centre(budget), "boolean")("words", before).alias("near")))
+    settled = written(large.join(early, "key").select("key", "line", F.arrow_udf(_near_centre(budget, full_chars), "boolean")("words", before).alias("near")))
     left = settled.where("not near").select("key", "line")
     asking = written(left.groupBy("key").agg(F.ceil(F.count("*") * 2 / most).cast("long").alias("ask_parts")))
     cell = lambda part, other: F.col(part) * F.col("ask_parts") + F.col(other)
@@ -498,26 +526,27 @@ def bucket_witnesses(members: DataFrame, known: DataFrame, budget: int, most: in
     return cold.unionByName(settled.where("near").select("line")).unionByName(judged(stand.unionByName(ask)))
 
 
-def hot_keys(docs: DataFrame, budget: int, min_chars: int, one_in: int = 64, share: float = 1e-5) -> np.ndarray:
+def hot_keys(docs: DataFrame, budgets: list[tuple[int, int, int]], one_in: int = 64, share: float = 1e-5) -> np.ndarray:
     """Keys that hold more than ``share`` of the entries of a hashed sample of the rows, so 1 / share at most, sorted.
 
     They only route: entries under them are spread over tasks, and their buckets are split.
     """
     some = docs.where(F.pmod(F.xxhash64("row"), F.lit(one_in)) == 0).select("text")
-    count = written(some.mapInArrow(_entries(budget, min_chars), ENTRIES).groupBy("key").count())
+    count = written(some.mapInArrow(_entries(budgets), ENTRIES).groupBy("key").count())
     total = count.agg(F.sum("count")).first()[0] or 0
     found = count.where(F.col("count") > F.greatest(F.lit(512), F.lit(total * share))).select("key").toArrow().column(0).to_numpy()
     return np.sort(found)
 
 
-def similar_later(docs: DataFrame, first: DataFrame, budget: int = BUDGET, min_chars: int = MIN_CHARS, most: int = CELL) -> DataFrame:
+def similar_later(docs: DataFrame, first: DataFrame, budget: int = BUDGET, min_chars: int = MIN_CHARS, one_chars: int = ONE_CHARS, most: int = CELL) -> DataFrame:
     """docs(row, text) and first(line, first), the first place of each line, to the ids of the lines (once or more) that are
     within the budget of a line with an earlier first place."""
     spark = docs.sparkSession
-    min_chars = max(min_chars, 2 * budget + 2)
-    hot = hot_keys(docs, budget, min_chars)
+    budgets = tiers(budget, min_chars, one_chars)
+    full, least = budgets[0][0], budgets[-1][0]
+    hot = hot_keys(docs, budgets)
     by = ["key", "salt"] if len(hot) else ["key"]
-    entries = docs.select("text").mapInArrow(_entries(budget, min_chars, hot), ENTRIES + (", salt smallint" if len(hot) else ""))
+    entries = docs.select("text").mapInArrow(_entries(budgets, hot), ENTRIES + (", salt smallint" if len(hot) else ""))
     dealt = entries.repartition(input_tasks(spark), *by).sortWithinPartitions(*by)
     met = written(dealt.mapInArrow(_meet(budget), "a bigint, b bigint, key bigint"))
     del entries, dealt
@@ -529,27 +558,26 @@ def similar_later(docs: DataFrame, first: DataFrame, budget: int = BUDGET, min_c
     wanted = written(first.join(ends, "line", "left_semi").select("line", F.col("first").alias("place")))
     where = written(wanted.select(F.col("place.row").alias("row")).distinct())
     holders = docs.join(F.broadcast(where) if small else where, "row", "left_semi")
-    texts = holders.select("text").mapInArrow(_texts(min_chars), "line bigint, words string").join(ends, "line", "left_semi")
+    texts = holders.select("text").mapInArrow(_texts(least), "line bigint, words string").join(ends, "line", "left_semi")
     known = written(texts.groupBy("line").agg(F.max("words").alias("words")).join(wanted, "line"))
     side = lambda end, words: known.select(F.col("line").alias(end), F.col("words").alias(words), F.col("place").alias(f"first_{end}"))
     asked = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b")
     # The later line of each pair comes second.
     back = F.col("first_b") < F.col("first_a")
     asked = asked.select(F.when(back, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(back, F.col("a")).otherwise(F.col("b")).alias("b"), "left", "right")
-    later = asked.mapInArrow(_verify(budget), "a bigint, b bigint").select(F.col("b").alias("line"))
+    later = asked.mapInArrow(_verify(budget, full), "a bigint, b bigint").select(F.col("b").alias("line"))
     if members.isEmpty():
         return later
-    return later.unionByName(bucket_witnesses(members, known, budget, most))
+    return later.unionByName(bucket_witnesses(members, known, budget, most, full))
 
 
-def removals(docs: DataFrame, budget: int = BUDGET, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
+def removals(docs: DataFrame, budget: int = BUDGET, min_chars: int = MIN_CHARS, one_chars: int = ONE_CHARS) -> DataFrame:
     """docs(row, doc_id, text) to (row, removed array<int>): the numbers (from 0) of the lines to remove."""
     kind = dict(docs.dtypes)["doc_id"]
-    min_chars = max(min_chars, 2 * budget + 2)
-    seen = written(docs.select("row", "doc_id", "text").mapInArrow(_occurrences(min(exact_chars, min_chars)), f"row bigint, doc_id {kind}, line_no int, line bigint"))
+    seen = written(docs.select("row", "doc_id", "text").mapInArrow(_occurrences(1), f"row bigint, doc_id {kind}, line_no int, line bigint"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "row")
     first = written(seen.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    later = written(similar_later(docs, first, budget, min_chars).distinct())
+    later = written(similar_later(docs, first, budget, min_chars, one_chars).distinct())
     judged = first.join(later.withColumn("similar", F.lit(True)), "line", "left").where("n > 1 or similar").select("line", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
     judged = written(judged)
     release(docs.sparkSession)  # all that is still to be read is in tables
@@ -567,16 +595,17 @@ def _without(text: pa.Array, removed: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def dedup_lines(docs: DataFrame, budget: int = BUDGET, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, budget: int = BUDGET, min_chars: int = MIN_CHARS, one_chars: int = ONE_CHARS) -> DataFrame:
     """``docs`` with text without its repeated lines, and n_lines and n_removed added."""
     bound_batches(docs.sparkSession)
     key = F.xxhash64("doc_id", "text")
-    gone = removals(docs.select(key.alias("row"), "doc_id", "text"), budget, min_chars, exact_chars).select(F.col("row").alias("__row"), F.col("removed").alias("__removed"))
-    joined = docs.withColumn("__key", key).join(gone, F.col("__key") == F.col("__row"), "left")
-    return joined.withColumns(
-        {
-            "n_lines": F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0),
-            "n_removed": F.coalesce(F.size("__removed"), F.lit(0)),
-            "text": F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.arrow_udf(_without, "string")(F.col("text"), F.col("__removed"))),
-        }
-    ).drop("__key", "__row", "__removed")
+    gone = removals(docs.select(key.alias("row"), "doc_id", "text"), budget, min_chars, one_chars)
+    joined = docs.select(F.struct("*").alias("doc"), key.alias("row")).join(gone, "row", "left")
+    text = F.col("doc.text")
+    new = {
+        "text": F.when(F.col("removed").isNull(), text).otherwise(F.arrow_udf(_without, "string")(text, F.col("removed"))),
+        "n_lines": F.when(F.length(text) > 0, F.size(F.split(text, "\n"))).otherwise(0),
+        "n_removed": F.coalesce(F.size("removed"), F.lit(0)),
+    }
+    names = docs.columns + [c for c in ("n_lines", "n_removed") if c not in docs.columns]
+    return joined.select(*[(new[c] if c in new else F.col(f"doc.`{c}`")).alias(c) for c in names])

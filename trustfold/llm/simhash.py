@@ -199,10 +199,9 @@ def keep_first(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFra
 
 def keep_heads(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is that of their group in found(doc_id, component_id); see :func:`keep_first`."""
-    found = found.where("doc_id = component_id")
-    heads = written(found.groupBy(F.col("doc_id").alias("__head")).agg(F.count("*").alias("__n")))
-    once = docs.join(heads.where("__n = 1"), F.col("doc_id") == F.col("__head"), "left_semi")
-    again = docs.join(heads.where("__n > 1"), F.col("doc_id") == F.col("__head"), "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    least = again.groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("__row")).select("__row.*")
-    return once.unionByName(least).unionByName(docs.where("doc_id is null"))
+    heads = written(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("head")).agg(F.count("*").alias("n")))
+    rows = docs.select(F.struct("*").alias("doc"))
+    chosen = lambda which: rows.join(heads.where(which), F.col("doc.doc_id") == F.col("head"), "left_semi")
+    least = chosen("n > 1").groupBy("doc.doc_id").agg(F.min_by("doc", F.coalesce("doc.text", F.lit(""))).alias("doc"))
+    kept = chosen("n = 1").unionByName(least.select("doc")).unionByName(rows.where("doc.doc_id is null"))
+    return kept.select("doc.*")
