@@ -152,3 +152,17 @@ def test_thin_plate_trend(spark):
     assert abs(stiff - (1 - (v - plane @ np.linalg.lstsq(plane, v, rcond=None)[0]).var() / v.var())) < 1e-3
     share = {r.predictor: r for r in A.debias_thin_plate(df, "x", "y", ["smooth", "gaps"], n_knots=15)[1].collect()}
     assert share["smooth"].r2 > 0.5 and share["gaps"].r2 == 0
+
+
+def test_coefficients_of_large_features_are_exact():
+    from fractions import Fraction
+
+    rng = np.random.default_rng(3)
+    p = np.round(rng.uniform(1e3, 5e5, 500), 2)
+    t = p / 1e5 + rng.integers(0, 7, 500)
+    model = E.Linear("t", ["p"], ridge=0.0)
+    m = np.array([[500, p.sum(), t.sum()], [p.sum(), p @ p, p @ t], [t.sum(), p @ t, t @ t]]) * 18000
+    n, s, y, ss, sy = (Fraction(float(m[i])) for i in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2)))
+    slope = (n * sy - s * y) / (n * ss - s * s)
+    a, b = model.solve(m)
+    assert abs(a - float((y - slope * s) / n)) < 1e-12 and abs(b - float(slope)) * 1e5 < 1e-12

@@ -49,11 +49,16 @@ class Linear:
         return out
 
     def solve(self, m: np.ndarray, use: Sequence[int] | None = None) -> np.ndarray:
-        """Coefficients (intercept first); ``use``: numbers of the features to keep, the others get zero."""
+        """Coefficients (intercept first); ``use``: numbers of the features to keep, the others get zero.
+
+        Columns are scaled to unit length first: sums of squares of large features lose half of the digits of the intercept else.
+        """
         at = [0, *[1 + i for i in (range(len(self.features)) if use is None else use)]]
         a = m[np.ix_(at, at)]
+        scale = 1 / np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+        eased = a * scale[:, None] * scale
         out = np.zeros(len(self.features) + 1)
-        out[at] = np.linalg.lstsq(a + self.ridge * np.diag(np.diag(a)), m[at, -1], rcond=None)[0]
+        out[at] = scale * np.linalg.lstsq(eased + self.ridge * np.diag(np.diag(eased)), scale * m[at, -1], rcond=None)[0]
         return out
 
     def expression(self, beta: np.ndarray) -> Column:
