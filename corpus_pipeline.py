@@ -53,9 +53,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more) keep the document with the least id.
+    """Of each group of near copies keep the document with the least id: texts whose SimHash fingerprints differ in three bits or fewer, and texts
+    that these miss but whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Null and empty texts are one group, rows without an id stay, of rows that repeat an id the one with the least text stays; see near_copies.
+    Null and empty texts are one group, rows without an id stay, of rows that repeat an id the one with the least text stays; see simhash and near_copies.
     """
     return near_copies.keep_first(docs)
 

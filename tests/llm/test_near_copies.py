@@ -97,3 +97,37 @@ def test_clashing_columns(spark):
     for module in (near_copies, simhash):
         got = module.keep_first(docs)
         assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_stage_links_by_fingerprint_and_by_set(spark):
+    """A pair within three bits whose sets are unlike, a chain over both kinds of links, and a pair that only its sets link."""
+    from .test_simhash import brute_fingerprint
+
+    rng = random.Random(5)
+    bits = lambda a, b: (a ^ b).bit_count()
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = " ".join(word() for _ in range(12)).split()
+    alike = None
+    while alike is None:  # twelve words with one changed: sets with a similarity below 0.8
+        t = list(base)
+        t[rng.randrange(12)] = word()
+        if bits(brute_fingerprint(" ".join(base)), brute_fingerprint(" ".join(t))) <= 3:
+            alike = t
+    assert len(shingles(" ".join(base)) & shingles(" ".join(alike))) < 0.8 * len(shingles(" ".join(base)) | shingles(" ".join(alike)))
+    docs = [(1, " ".join(base)), (2, " ".join(alike)), (3, "quite another text"), (4, None), (5, "")]
+    docs += [(i + 100, t) for i, t in corpus(rng, 10, 4)]
+    ids = [i for i, _ in docs]
+    label = brute(docs)
+    prints = {i: brute_fingerprint(t or "") for i, t in docs}
+    root = {i: label[i] for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for i in ids:
+            for j in ids:
+                if root[j] < root[i] and (label[i] == label[j] or bits(prints[i], prints[j]) <= 3):
+                    root[i], changed = root[j], True
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = cp.drop_near_copies(spark, df, "")
+    assert {r.doc_id for r in got.collect()} == {i for i in ids if root[i] == i}
+    assert root[2] == 1 and label[2] == 2

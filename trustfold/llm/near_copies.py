@@ -334,5 +334,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """As :func:`simhash.keep_first`, of groups of near copies."""
-    return simhash.keep_heads(docs, near_duplicates(docs.select("doc_id", "text")))
+    """As :func:`simhash.keep_first`, of groups that SimHash links and links of near copies make together.
+
+    SimHash groups the rows first. Near copies whose fingerprints differ in more bits than its radius are then linked by their sets, and groups
+    that such links connect are one: its id is the least of all their rows.
+    """
+    rows = docs.select("doc_id", "text")
+    hashed = written(simhash.near_duplicates(rows).withColumnRenamed("component_id", "first"))
+    sets = rows.select("doc_id", F.arrow_udf(_nodes, "bigint")("text").alias("node")).where("doc_id is not null")
+    # A group's id stands on as many rows as it has different sets, which are linked through it.
+    groups = sets.join(hashed.where("first is not null").select("doc_id", "first").distinct(), "doc_id")
+    marked = written(groups.select(F.col("first").alias("doc_id"), F.col("node").alias("fp")).distinct())
+    found = simhash.grouped(marked, jaccard_links(rows.where("doc_id is not null").select("text")))
+    heads = found.where("doc_id = component_id").select("doc_id").distinct()
+    return simhash.keep_heads(docs, hashed.where("doc_id = first").select("doc_id", F.col("first").alias("component_id")).join(heads, "doc_id", "left_semi"))
