@@ -240,9 +240,9 @@ def null_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {POINTS}, s AS (SELECT label, count(*) n, sum(x) x, sum(e4) e4 FROM points GROUP BY 1), t AS (SELECT sum(n) n, sum(x) x, sum(e4) e4 FROM s)
 SELECT row_id, 'x' feature, round(2*(p.x-(t.x-s.x)/(t.n-s.n)),6) contribution FROM points p JOIN s USING (label), t UNION ALL SELECT row_id, 'e4', round(-3*(p.e4-(t.e4-s.e4)/(t.n-s.n)),6) FROM points p JOIN s USING (label), t""")
 def contributions_of_a_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of other blocks are drawn, for which a linear model has a closed form."""
+    """All rows of other blocks count. The model is linear, so its values are predicted once and added up by block."""
     rows = points(spark, sf_dir)
-    got = resampling.block_contributions(rows, lambda d: d.withColumn("prediction", 2 * F.col("x") - 3 * F.col("e4") + 1), ["x", "e4"], "label", samples=rows.count())
+    got = resampling.block_contributions(rows, lambda d: d.withColumn("prediction", 2 * F.col("x") - 3 * F.col("e4") + 1), ["x", "e4"], "label", samples=rows.count(), additive=True)
     return _round(got, "contribution")
 
 
