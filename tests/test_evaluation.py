@@ -166,3 +166,12 @@ def test_coefficients_of_large_features_are_exact():
     slope = (n * sy - s * y) / (n * ss - s * s)
     a, b = model.solve(m)
     assert abs(a - float((y - slope * s) / n)) < 1e-12 and abs(b - float(slope)) * 1e5 < 1e-12
+
+
+def test_rows_are_spread_over_more_tasks_as_they_grow(spark):
+    from trustfold.functions import common
+
+    one, two = common.spread_rows(40 * common.TASK_ROWS + 1, spark.range(50).withColumnRenamed("id", "row_id"), spark.range(50).selectExpr("id as row_id", "id % 2 as fold"))
+    assert one.rdd.getNumPartitions() == two.rdd.getNumPartitions() == 41
+    joined = one.join(two.hint("merge"), "row_id").groupBy("row_id").count()
+    assert joined.count() == 50 and joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2

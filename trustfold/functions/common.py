@@ -50,6 +50,19 @@ def global_position(df: DataFrame, *order: str | Column, name: str = "pos") -> D
     return kept.join(F.broadcast(table), part == F.col("__p")).withColumn(name, F.col("__offset") + local + 1).drop("__id", "__p", "__offset")
 
 
+#: Rows that a task of :func:`spread_rows` gets on average, at most.
+TASK_ROWS = 250_000
+
+
+def spread_rows(rows: int, *tables: DataFrame, key: str = "row_id") -> list[DataFrame]:
+    """The tables in hash partitions of ``key``, more of them the more rows there are, so that what a task sorts and groups does not grow with the input.
+
+    Tables that are dealt together are joined on the key, and grouped by it, without another shuffle.
+    """
+    parts = max(int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    return [t.repartition(parts, key) for t in tables]
+
+
 def epoch(column: Column, kind: str) -> Column:
     """Time as a number: days of a date, seconds of a timestamp, numbers as they are."""
     if kind == "date":

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.common import hash_order, written
+from ..functions.common import hash_order, spread_rows, written
 from ..functions.stats import t_two_sided
 from .neighbours import k_nearest
 
@@ -253,10 +253,12 @@ def fairness(data: DataFrame, random_folds: DataFrame, blocked_folds: DataFrame,
 
 def prediction_map(data: DataFrame, repeats: DataFrame, fitter, target: str, x: str = "x", y: str = "y") -> DataFrame:
     """row_id, place, mean and spread of a row's held-out predictions over repeats(repeat, row_id, fold), their number, and the mean residual."""
-    out = None
+    out, total = None, data.count()
     for (r,) in sorted(repeats.select("repeat").distinct().collect()):
-        got = held_out(data, repeats.where(F.col("repeat") == r), fitter).select("row_id", x, y, F.col(target).alias("actual"), "prediction")
+        rows, made = spread_rows(total, data, repeats.where(F.col("repeat") == r))
+        got = held_out(rows, made, fitter).select("row_id", x, y, F.col(target).alias("actual"), "prediction")
         out = got if out is None else out.unionByName(got)
+    (out,) = spread_rows(2 * total, out)
     by = out.groupBy("row_id").agg(
         F.first(x).alias(x), F.first(y).alias(y), F.avg("prediction").alias("pred_mean"), F.stddev_samp("prediction").alias("pred_sd"),
         F.count("prediction").cast("int").alias("n_tested"), F.first("actual").alias("actual"),
