@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import epoch
+from ..functions.common import epoch, spread_rows
 from .leakage import HARD, SOFT, Risk
 
 #: How the size of what was seen is judged, by what it is: (risk if more, its severity, risk if less, its severity).
@@ -123,14 +123,17 @@ def partition_checks(data: DataFrame, folds: DataFrame, time: str | None = None,
     Training rows are all rows less the fold's own; a row or group is on both sides if another fold has it too; the last training time is
     the greatest of all folds, or for the fold that has it the second.
     """
-    own = folds.select("fold", "row_id").join(data, "row_id")
+    n = data.count()
+    made, rows = spread_rows(n, folds.select("fold", "row_id"), data.select("row_id", *dict.fromkeys(c for c in (time, group) if c)))
+    own = made.join(rows, "row_id")
     ids = own.select("fold", "row_id").distinct()
     total = ids.select("row_id").distinct().count()
     often = ids.groupBy("row_id").agg((F.count("*") > 1).alias("twice"))
     out = ids.join(often, "row_id").groupBy("fold").agg(F.count("*").alias("n_test"), F.count_if("twice").alias("n_overlap"))
     out = out.select("fold", (F.lit(total) - F.col("n_test") + F.col("n_overlap")).alias("n_train"), "n_test", "n_overlap")
     if group:
-        by = own.where(F.col(group).isNotNull()).select("fold", F.col(group).alias("__g")).distinct()
+        (by,) = spread_rows(n, own.where(F.col(group).isNotNull()).select("fold", F.col(group).alias("__g")), key="__g")
+        by = by.distinct()
         shared = by.groupBy("__g").agg((F.count("*") > 1).alias("twice"))
         out = out.join(by.join(shared, "__g").groupBy("fold").agg(F.count_if("twice").alias("n_groups")), "fold", "left")
     if time:
