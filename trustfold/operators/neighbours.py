@@ -189,3 +189,109 @@ def k_nearest(points: DataFrame, k: int, x: str = "x", y: str = "y", value: str
     if places:
         return found
     return rows.select("id", "x", "y").join(found, ["x", "y"]).select(F.col("id").alias("row_id"), F.slice(F.filter("near", lambda b: b["id"] != F.col("id")), 1, k).alias("near"))
+
+
+def nearest_unlike(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """points(row_id, label, asks, x, y) to (row_id, d): the distance of every asking row to the nearest row of another label; no row without one.
+
+    A place with two labels is at distance zero for all of its rows; other places have one label and search the tiles as in k_nearest, without those
+    that hold no other label. A place whose own tile holds none gets its bound from the nearest tiles in Z-order that do. Labels are whole numbers.
+    """
+    spark = points.sparkSession
+    rows = points.select("row_id", F.col("label").cast("long").alias("label"), "asks", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = written(rows.where("label is not null and x is not null and y is not null and not isnan(x) and not isnan(y)"))
+    spots = rows.groupBy("x", "y").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bool_or("asks").alias("asks"))
+    placed, plane = z_tiles(spots, TILE)
+    if not plane:
+        return rows.select("row_id", F.lit(None).cast("double").alias("d"))
+    top, x0, y0, scale = plane.top, plane.x0, plane.y0, plane.scale
+
+    def least(px: np.ndarray, py: np.ndarray, label: np.ndarray, held: pa.Table) -> np.ndarray:
+        hx, hy, low, high = (held.column(c).to_numpy() for c in ("x", "y", "low", "high"))
+        out, chunk = np.full(len(px), np.inf), max(1, _HELD // max(1, len(hx)))
+        for at in range(0, len(px) if len(hx) else 0, chunk):
+            part = slice(at, at + chunk)
+            d = np.sqrt((px[part, None] - hx) ** 2 + (py[part, None] - hy) ** 2)
+            d[(low == label[part, None]) & (high == label[part, None])] = np.inf
+            out[part] = d.min(axis=1)
+        return out
+
+    def own(table: pa.Table) -> pa.Table:
+        asking = table.filter(table.column("asks"))
+        px, py, low, high = (asking.column(c).to_numpy() for c in ("x", "y", "low", "high"))
+        d, pure = np.zeros(len(px)), low == high
+        d[pure] = least(px[pure], py[pure], low[pure], table)
+        return pa.table([asking.column(c) for c in ("pos", "tile", "x", "y", "low")] + [pa.chunked_array([pa.array(d)])], names=["pos", "tile", "x", "y", "label", "d"])
+
+    kinds = "pos bigint, tile int, x double, y double, label bigint, d double"
+    near = written(placed.groupBy("tile").applyInArrow(own, kinds))
+    every = near.select("pos", "d")
+    if plane.tiles > 1:
+        labels = placed.groupBy("tile").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("tile").toPandas()
+        box = tile_boxes(placed) | {c: labels[c].to_numpy() for c in ("low", "high")}
+        # A run of tiles of the same single label; the tiles before and after it hold another.
+        single = np.where(box["low"] == box["high"], box["low"], 0)
+        new_run = np.append(True, (single[1:] != single[:-1]) | (box["low"] != box["high"])[1:] | (box["low"] != box["high"])[:-1])
+        starts, run = np.flatnonzero(new_run), np.cumsum(new_run) - 1
+        box |= {"before": starts[run] - 1, "after": np.append(starts[1:], len(run))[run]}
+        sent = spark.sparkContext.broadcast(box)
+
+        def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            box = sent.value
+            tiles = len(box["low"])
+            grid = lambda v, low, by: np.clip(np.floor((v - low) * by), 0, top).astype(np.int64)
+            gap = lambda c, t, v: np.maximum(np.maximum(box[f"{c}_0"][t] - v, v - box[f"{c}_1"][t]), 0)
+            span = lambda c, t, v: np.maximum(box[f"{c}_1"][t] - v, v - box[f"{c}_0"][t])
+            for batch in batches:
+                pos, tile, px, py, label, d = (batch.column(i).to_numpy() for i in range(6))
+                r = d * (1 + 1e-9) + 1e-300
+                for side in ("before", "after"):
+                    t = box[side][tile]
+                    some = np.isinf(d) & (t >= 0) & (t < tiles)
+                    t = t[some]
+                    r[some] = np.minimum(r[some], np.hypot(span("x", t, px[some]), span("y", t, py[some])) * (1 + 1e-9) + 1e-300)
+                able = np.flatnonzero(np.isfinite(r) & (d > 0))
+                pos, tile, px, py, label, r = (v[able] for v in (pos, tile, px, py, label, r))
+                a0, a1 = grid(px - r, x0, scale[0]), grid(px + r, x0, scale[0])
+                b0, b1 = grid(py - r, y0, scale[1]), grid(py + r, y0, scale[1])
+                width = np.maximum(a1 - a0, b1 - b0)
+                level = np.where(width > 0, np.frexp(width.astype(np.float64))[1], 0).astype(np.int64)  # 2^level > width
+                t0, many = [], []
+                for i in (0, 1):
+                    for j in (0, 1):
+                        a, b = (a1 if i else a0) >> level, (b1 if j else b0) >> level
+                        new = np.ones(len(a), bool)
+                        if i:
+                            new &= a != a0 >> level
+                        if j:
+                            new &= b != b0 >> level
+                        low = (_spread(a) | (_spread(b) << 1)) << (2 * level)
+                        t0.append(np.searchsorted(box["code_1"], low, side="left"))
+                        t1 = np.searchsorted(box["code_0"], low + (np.int64(1) << (2 * level)) - 1, side="right")
+                        many.append(np.where(new, np.maximum(t1 - t0[-1], 0), 0))
+                t0, many = np.stack(t0, axis=1), np.stack(many, axis=1)
+                upto, at = np.cumsum(many.sum(axis=1)), 0
+                while at < len(r):
+                    end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _HELD, side="right")))
+                    m = many[at:end].ravel()
+                    who = np.repeat(np.repeat(np.arange(at, end), 4), m)
+                    t = np.repeat(t0[at:end].ravel() - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                    some = (t != tile[who]) & ((box["low"][t] != label[who]) | (box["high"][t] != label[who]))
+                    who, t = who[some], t[some]
+                    # The farthest corner of any tile bounds the distance, so most tiles of a wide radius are left out.
+                    bound = r[at:end].copy()
+                    np.minimum.at(bound, who - at, np.hypot(span("x", t, px[who]), span("y", t, py[who])) * (1 + 1e-9) + 1e-300)
+                    some = np.hypot(gap("x", t, px[who]), gap("y", t, py[who])) <= bound[who - at]
+                    pairs = np.unique(np.stack([who[some], t[some]], axis=1), axis=0)
+                    who, t = pairs[:, 0], pairs[:, 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (pos[who], t.astype(np.int32), px[who], py[who], label[who], bound[who - at])], names=["pos", "tile", "x", "y", "label", "d"])
+                    at = end
+
+        def search(key, asking: pa.Table, held: pa.Table) -> pa.Table:
+            d = least(*(asking.column(c).to_numpy() for c in ("x", "y", "label")), held)
+            return pa.table([asking.column("pos"), pa.chunked_array([pa.array(d)])], names=["pos", "d"])
+
+        more = near.mapInArrow(visits, kinds).groupBy("tile").cogroup(placed.groupBy("tile")).applyInArrow(search, "pos bigint, d double")
+        every = every.unionAll(more)
+    found = every.groupBy("pos").agg(F.min("d").alias("d")).where(F.col("d") < float("inf")).join(placed.select("pos", "x", "y"), "pos").drop("pos")
+    return rows.where("asks").select("row_id", "x", "y").join(found, ["x", "y"]).select("row_id", "d")
