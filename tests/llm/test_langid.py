@@ -104,3 +104,19 @@ def test_small_samples_train_to_the_end(spark):
     for n in (100, 200, 400):
         got = langid.identify(held, langid.fit(train, sample_rows=n))
         assert got.select(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] >= 0.97, n
+
+
+def test_the_driver_sees_the_model_only(spark, monkeypatch):
+    """Rows of the sample stay in a task; a table without usable rows has no model."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    def refused(self):
+        raise AssertionError("rows on the driver")
+
+    monkeypatch.setattr(Classic, "toArrow", refused)
+    monkeypatch.setattr(Classic, "toPandas", refused)
+    words = {"a": "alpha beta gamma delta", "b": "uno dos tres cuatro"}
+    rows = [(i, f"{words['ab'[i % 2]]} {i}", "ab"[i % 2]) for i in range(60)]
+    kinds = "doc_id bigint, text string, lang string"
+    assert langid.fit(spark.createDataFrame(rows, kinds)).labels == ["a", "b"]
+    assert langid.fit(spark.createDataFrame([(1, None, "a"), (2, "12", "b")], kinds)) is None

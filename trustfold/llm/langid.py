@@ -21,6 +21,7 @@ columns pass through unless they are named lang_pred, score or rejected, which a
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 
@@ -208,8 +209,20 @@ def fit(docs: DataFrame, sample_rows: int = 2048, seed: int = 7) -> LanguageMode
 
     picked = usable.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", F.xxhash64("text").alias("h"), "text")
     counts = picked.mapInPandas(counted, f"doc_id {dict(picked.dtypes)['doc_id']}, lang string, h bigint, at array<int>, n array<int>")
-    # Ids may repeat; the limit holds for rows.
-    rows = counts.orderBy("doc_id", "h", "lang", F.hash("at", "n")).limit(3 * sample_rows).select("lang", "at", "n").toArrow()
+    # Ids may repeat; the limit holds for rows. The sample is trained on in a task, so that the driver sees the model only.
+    rows = counts.orderBy("doc_id", "h", "lang", F.hash("at", "n")).limit(3 * sample_rows).select("lang", "at", "n")
+
+    def trained(batches):
+        rows = pa.Table.from_batches(batches, pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))]))
+        model = _train_on(rows, seed)
+        yield pa.RecordBatch.from_arrays([pa.array([] if model is None else [pickle.dumps(model)], pa.binary())], names=["model"])
+
+    got = rows.coalesce(1).mapInArrow(trained, "model binary").collect()
+    return pickle.loads(got[0].model) if got else None
+
+
+def _train_on(rows: pa.Table, seed: int) -> LanguageModel | None:
+    """The model of rows(lang, at, n) of bucket counts; null languages are noise."""
     if not rows.num_rows:
         return None
     langs = rows.column("lang").to_pylist()
@@ -220,9 +233,6 @@ def fit(docs: DataFrame, sample_rows: int = 2048, seed: int = 7) -> LanguageMode
     total = np.add.reduceat(n, first[:-1], dtype=np.int64)
     share = n.astype(np.float32)
     share /= np.repeat(total.astype(np.float32), size)
-    # The driver goes on with little memory.
-    del rows, lists, n
-    pa.default_memory_pool().release_unused()
     labels = sorted({v for v in langs if v is not None})
     y = np.array([labels.index(v) if v is not None else len(labels) for v in langs])
     # A text has a gram a byte and one more.
