@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trustfold.functions.permute import shuffled
@@ -78,3 +79,19 @@ def test_separable_collinear_null_and_empty(spark):
     gaps = shift.classifier_test(train.selectExpr("row_id", "if(row_id < 10, null, a) a"), new, ["a"], n_perm=0).first()
     assert (gaps.n_train, gaps.n_new, gaps.classifier_p) == (50, 40, None)
     assert shift.classifier_test(train, new.where("false"), ["a"]).first().classifier_auc == 0.5
+
+
+@pytest.mark.parametrize("n_perm", [0, 30, 100, 3000])
+def test_chunks_hold_as_much_however_many_rows_and_models(n_perm):
+    rows, v = 9000, 5
+    labels = shift._Labels(rows, 4000, n_perm, 42)
+    batch = pa.RecordBatch.from_pydict({"x0": np.arange(rows, dtype=float), "pos": np.arange(1, rows + 1), "y": (np.arange(rows) % 2).astype(float)})
+    if n_perm == 3000:
+        batch = batch.slice(0, 40)
+    got = list(shift._chunks(iter([batch]), 1, v, labels))
+    assert all(len(x) * y.shape[1] * v <= 300_000 for x, _, y in got)
+    x, fold, y = (np.concatenate(part) for part in zip(*got))
+    assert x[:, 1].tolist() == batch.column("x0").to_pylist() and fold.tolist() == [i % v for i in range(len(x))]
+    assert (y[:, 0] == np.arange(len(x)) % 2).all() and y.shape == (len(x), n_perm + 1)
+    for b in {0, n_perm - 1} if n_perm else ():
+        assert (y[:, b + 1] == (shuffled(np.arange(len(x)), rows, 43 + b) < 4000)).all()

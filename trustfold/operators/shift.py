@@ -23,7 +23,8 @@ from ..functions.permute import shuffled
 from .applicability import drift
 
 SUM_TASKS = 32
-_ROWS = 4096
+#: Numbers in an array of a chunk, rows times label sets times folds: what a task holds depends on neither the rows nor the models.
+CHUNK_CELLS = 1 << 18
 #: Of the log odds; scores beyond it are 0 or 1 in double precision anyway.
 _STEEP = 30.0
 
@@ -36,18 +37,20 @@ class _Labels:
     """Labels under the permutations: the rows' own, then 1 where the permuted position is below the number of new rows."""
 
     def __init__(self, n: int, n_new: int, n_perm: int, seed: int) -> None:
-        self.n, self.n_new, self.keys = n, n_new, [seed + 1 + b for b in range(n_perm)]
+        self.n, self.n_new, self.keys = n, n_new, np.array([(seed + 1 + b) & 0xFFFFFFFFFFFFFFFF for b in range(n_perm)], np.uint64)
 
     def of(self, own: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        return np.stack([own, *((shuffled(pos - 1, self.n, key) < self.n_new).astype(np.float64) for key in self.keys)], axis=1)
+        moved = shuffled(np.tile(pos - 1, len(self.keys)), self.n, np.repeat(self.keys, len(pos)))
+        return np.column_stack([own, (moved < self.n_new).reshape(len(self.keys), len(pos)).T])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], p: int, v: int, labels: _Labels):
-    """(design matrix, fold, labels) of up to _ROWS rows."""
+    """(design matrix, fold, labels) of as many rows as CHUNK_CELLS allows, one at least."""
     names = [f"x{i}" for i in range(p)]
+    rows = max(1, CHUNK_CELLS // ((len(labels.keys) + 1) * v))
     for whole in batches:
-        for at in range(0, whole.num_rows, _ROWS):
-            batch = whole.slice(at, _ROWS)
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
             x = np.column_stack([np.ones(batch.num_rows), _columns(batch, names)]) if p else np.ones((batch.num_rows, 1))
             pos = _columns(batch, ["pos"])[:, 0].astype(np.int64)
             yield x, (pos - 1) % v, labels.of(_columns(batch, ["y"])[:, 0], pos)
